@@ -74,12 +74,12 @@ SQL: dict[str, str] = {
     "op2_line_dedup": rf"""
 with raw as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line_no
   from documents),
 full_lines as (
   select *, regexp_replace(line, '{_EDGE}', '', 'g') as core from raw),
 numbered as (
-  select *, row_number() over (partition by doc_id order by at) as k from full_lines where core <> ''),
+  select *, row_number() over (partition by doc_id order by line_no) as k from full_lines where core <> ''),
 pairs as (
   select doc_id, k, core, lead(core) over (partition by doc_id order by k) as follows from numbered),
 later as (
@@ -88,11 +88,11 @@ later as (
     from pairs where follows is not null) where n > 1),
 gone as (select doc_id, k from later union select doc_id, k + 1 from later),
 left_over as (
-  select f.doc_id, f.at, f.line, n.k, g.k is not null as gone
-  from full_lines f left join numbered n on f.doc_id = n.doc_id and f.at = n.at
+  select f.doc_id, f.line_no, f.line, n.k, g.k is not null as gone
+  from full_lines f left join numbered n on f.doc_id = n.doc_id and f.line_no = n.line_no
   left join gone g on n.doc_id = g.doc_id and n.k = g.k)
 select doc_id, count(k) as n_lines, count(*) filter (where gone) as n_removed,
-       sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (where not gone), '')) as kept_sha256
 from left_over group by doc_id""",
     "op3_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
