@@ -35,14 +35,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the
     whole history, and nothing depends on an executor's own disk.
     """
     path = f"{scratch_dir(df.sparkSession)}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,23 +4,25 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a
 document with a smaller id. Sorting all suffixes of a corpus at once would
 move many times its size, so the suffixes are dealt out first, by content:
 
-1. *Anchors.* Of the ``SEED``-byte strings in a string of ``LENGTH`` bytes the
+1. *Copies.* A text that a document of smaller id also has, by a digest of 128
+   bits, loses everything and takes no further part.
+2. *Anchors.* Of the ``SEED``-byte strings in a string of ``LENGTH`` bytes the
    one of least hash is its anchor: two equal strings have the same one. Only
    hashes travel (five bytes each, once per batch); owners return for each
    whether another batch has it. Strings whose anchor no other document has
    are unique and done with.
-2. *Suffix arrays.* The surroundings of the other anchors, distinct ones per
+3. *Suffix arrays.* The surroundings of the other anchors, distinct ones per
    batch with their smallest id, go to the owner of the anchor. It sorts their
    suffixes by difference cover (``suffix_sort``): triples at the sampled
    positions, recursion on the names, merging of the rest; neighbours in the
    order that share ``LENGTH`` bytes are one string, with a smallest id.
    Anchors in more than ``HOT`` batches would make one owner grow with the
    input, so their surroundings go string by string to the owner of the string.
-3. *Removal.* Owners return for each surrounding which of its strings start in
+4. *Removal.* Owners return for each surrounding which of its strings start in
    a document of smaller id than its own smallest; documents with larger ids
    than that lose all of it. The batches mark and cut.
 
-The decision is exact: hashes only choose what is compared, bytes decide.
+Between different texts bytes decide; hashes only choose what is compared.
 Batches are kept as a bucketed table, so that the answers come to the texts and
 texts are not shuffled.
 """
@@ -83,6 +85,14 @@ class Batch:
         self.text, self.length, self.seed = row["text"], length, seed
         self.ends = np.cumsum(self.sizes)
         self.buf = np.frombuffer(self.text + bytes(length + 8), np.uint8)
+        self.copy = np.zeros(len(self.ids), bool)
+        for told in row.get("copies") or []:
+            at = np.frombuffer(told["docs"], "<i4")
+            self.copy[at] = np.unpackbits(np.frombuffer(told["bits"], np.uint8), count=len(at)).astype(bool)
+
+    def texts(self) -> Iterator[bytes]:
+        for a, b in zip((self.ends - self.sizes).tolist(), self.ends.tolist()):
+            yield self.text[a:b]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, hashes, and numbers of the documents."""
@@ -102,9 +112,10 @@ class Batch:
         low = _sliding(np.minimum, np.concatenate([rank, np.full(span, 2**32 - 1, np.uint32)]), span)[:n]
         inside = np.zeros(n + 1, np.int32)  # documents whose strings start here: one or none
         begin, stop = self.ends - self.sizes, np.maximum(self.ends - self.length + 1, self.ends - self.sizes)
+        stop[self.copy] = begin[self.copy]
         np.add.at(inside, begin, 1)
         np.subtract.at(inside, stop, 1)
-        low[np.cumsum(inside[:n]) == 0] = 0
+        low[np.cumsum(inside[:n]) == 0] = 0  # also where a document is a copy
         high = _sliding(np.maximum, np.concatenate([low[::-1], np.zeros(span, np.uint32)]), span)[:n][::-1]
         where = np.flatnonzero((high == rank) & (high > 0))
         return where, h[where], np.searchsorted(self.ends, where, side="right")
@@ -163,16 +174,45 @@ def _batch_table(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> D
 
     rows = id_text(docs, id_col, text_col).mapInArrow(run, "batch long, ids binary, sizes binary, text binary")
     name = f"batches_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "batch").option("path", f"{scratch_dir(docs.sparkSession)}/batches").saveAsTable(name)
+    rows.write.option("compression", "zstd").bucketBy(buckets, "batch").option("path", f"{scratch_dir(docs.sparkSession)}/batches").saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
-def _told(table: DataFrame, answers: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+def _told(table: DataFrame, answers: DataFrame, columns: list[str], buckets: int, name: str = "told") -> DataFrame:
     """The batches with their owners' answers, which come as one list each.
 
     The answers are dealt like the batches' buckets: no text is shuffled."""
     dealt = answers.repartition(buckets, "batch").groupBy("batch")
-    return table.join(dealt.agg(F.sort_array(F.collect_list(F.struct("owner", *columns))).alias("told")).hint("merge"), "batch", "left")
+    return table.join(dealt.agg(F.sort_array(F.collect_list(F.struct("owner", *columns))).alias(name)).hint("merge"), "batch", "left")
+
+
+def _find_copies(table: DataFrame, owners: int) -> DataFrame:
+    """``(batch, owner, docs, bits)``: which documents of a batch have the text
+    of a document of smaller id."""
+
+    def send(batches):
+        for row in _rows(batches):
+            batch = Batch(row, LENGTH, SEED)
+            digest = np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=16).digest() for t in batch.texts()]), "<u8").reshape(-1, 2)
+            owner = (digest[:, 0] % np.uint64(owners)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            out = list(_by_owner(owner[order]))
+            blobs = [[x[order[s]].tobytes() for _, s in out] for x in (np.arange(len(owner), dtype="<i4"), digest, batch.ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(out), pa.int64()), pa.array([o for o, _ in out], pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["batch", "owner", "docs", "digests", "ids"])
+
+    def decide(group: pa.Table) -> pa.Table:
+        digests = np.frombuffer(b"".join(group.column("digests").to_pylist()), "<u8").reshape(-1, 2)
+        ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<i8")
+        order = np.lexsort((ids, digests[:, 1], digests[:, 0]))
+        new = np.r_[True, (digests[order][1:] != digests[order][:-1]).any(axis=1)]
+        least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        copy = np.empty(len(ids), bool)
+        copy[order] = least < ids[order]
+        cut = np.cumsum([len(x) // 8 for x in group.column("ids").to_pylist()])[:-1]
+        return pa.table({"batch": group.column("batch"), "owner": group.column("owner"), "docs": group.column("docs"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(copy, cut)], pa.binary())})
+
+    sent = table.mapInArrow(send, "batch long, owner long, docs binary, digests binary, ids binary")
+    return sent.groupBy("owner").applyInArrow(decide, "batch long, owner long, docs binary, bits binary")
 
 
 def _find_anchors(table: DataFrame, owners: int, length: int, seed: int, hot: int) -> DataFrame:
@@ -196,7 +236,7 @@ def _find_anchors(table: DataFrame, owners: int, length: int, seed: int, hot: in
         bits = [[np.packbits(x).tobytes() for x in np.split(flag, cut)] for flag in (count > 1, count > hot)]
         return pa.table({"batch": group.column("batch"), "owner": group.column("owner"), "shared": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary())})
 
-    sent = table.select("batch", "ids", "sizes", "text").mapInArrow(send, "batch long, owner long, anchors binary")
+    sent = table.mapInArrow(send, "batch long, owner long, anchors binary")
     return sent.groupBy("owner").applyInArrow(decide, "batch long, owner long, shared binary, hot binary")
 
 
@@ -331,6 +371,8 @@ def _cut(table: DataFrame, sent: DataFrame, answers: DataFrame, owners: int, len
                     at = where - o
                     hit = (gone >> np.uint32(o) & np.uint32(1)).astype(bool) & (at >= begin) & (at + length <= stop) & ((single < 0) | (single == o))
                     start[at[hit]] = True
+            for k in np.flatnonzero(batch.copy):
+                start[batch.ends[k] - batch.sizes[k] : max(batch.ends[k] - length + 1, batch.ends[k] - batch.sizes[k])] = True
             total = np.concatenate([[0], np.cumsum(start)])
             covered = total[1:] > total[np.maximum(np.arange(n) - length + 1, 0)]
             out = []
@@ -362,7 +404,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("seed must be 16, 24, ... and 8 to 31 less than length")
     owners = min(max(8, docs.rdd.getNumPartitions()), 65_536)
     table = _batch_table(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, owners)
+    copies = stored(_find_copies(table, owners), "copies")
+    table = _told(table, copies, ["docs", "bits"], owners, "copies")
     anchors = stored(_find_anchors(table, owners, length, seed, hot), "anchors")
-    sent = stored(_surroundings(table, anchors, owners, length, seed), "surroundings")
+    sent = stored(_surroundings(table, anchors, owners, length, seed), "surroundings", "zstd")
     answers = stored(_sort_suffixes(sent, length, seed), "answers")
     return _cut(table, sent, answers, owners, length, seed, with_text)
