@@ -23,33 +23,55 @@ from pyspark.sql import functions as F
 from lodestone.llm import pretoken
 from lodestone.llm.common import id_text, stored
 
-WINDOW, END_ID, CACHE_CHUNKS = 4096, 2, 300_000
+WINDOW, END_ID, CACHE_CHUNKS = 4096, 2, 250_000
 
 
 class Counter:
-    """Ids of whole texts by the tokenizers library, one call for all chunks
-    of a batch that are not remembered."""
+    """Ids of whole texts by the tokenizers library, one call for all words of
+    a group of texts that are not remembered (two generations, as in
+    ``pretoken.Cache``)."""
 
     def __init__(self, path: str, size: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
-        self.tool, self.size, self.known = Tokenizer.from_file(path), size, {}
+        self.tool, self.size = Tokenizer.from_file(path), size
         self.tool.no_padding()
         self.tool.no_truncation()
+        vocab = self.tool.get_vocab(with_added_tokens=True)
+        # Each word ends in one of these, or is a special token.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>") or t in pretoken.SPECIAL]] = True
+        self.chunk: dict[str, bytes] = {}
+        self.word: dict[str, bytes] = {}
+        self.old_chunk, self.old_word = {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text (the vocabulary has
         fewer than 65,536)."""
         cut = [[c for k, piece in enumerate(pretoken.split_special(t)) for c in ([piece] if k % 2 else pretoken.chunks(piece))] for t in texts]
-        known = self.known
-        if len(known) >= self.size:
-            known.clear()
-        new = list({c for cs in cut for c in cs if c not in known})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for c, e in zip(some, self.tool.encode_batch_fast(some, add_special_tokens=False)):
-                known[c] = np.array(e.ids, dtype="<u2").tobytes()
-        return [b"".join(map(known.__getitem__, cs)) for cs in cut]
+        if len(self.chunk) >= self.size:
+            self.old_chunk, self.chunk = self.chunk, {}
+        if len(self.word) >= self.size:
+            self.old_word, self.word = self.word, {}
+        chunk, word = self.chunk, self.word
+        unknown = set().union(*cut).difference(chunk)
+        chunk.update({c: self.old_chunk[c] for c in unknown & self.old_chunk.keys()})
+        fresh = list(unknown.difference(chunk))
+        parts = [[c] if c in pretoken.SPECIAL else pretoken.words(c) for c in fresh]
+        unknown = {w for p in parts for w in p}.difference(word)
+        word.update({w: self.old_word[w] for w in unknown & self.old_word.keys()})
+        new = list(unknown.difference(word))
+        # White space parts words and has no ids of its own.
+        groups = [" ".join(new[k : k + 200]) for k in range(0, len(new), 200)]
+        ids = np.array([i for e in self.tool.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids], dtype="<u2")
+        stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(new, stops, strict=True):
+            word[w] = raw[start:stop]
+            start = stop
+        for c, p in zip(fresh, parts):
+            chunk[c] = word[p[0]] if len(p) == 1 else b"".join([word[w] for w in p])
+        return [b"".join([chunk[c] for c in cs]) for cs in cut]
 
 
 @lru_cache(maxsize=2)
