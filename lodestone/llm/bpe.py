@@ -18,10 +18,12 @@ that table. Decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from lodestone.llm import pretoken
 from lodestone.llm.common import id_text
 
 #: Words and chunks remembered by a worker, and transitions compiled at a time.
-CACHE_WORDS, CACHE_ARCS = 200_000, 2_000_000
+CACHE_WORDS, CACHE_ARCS = 250_000, 2_000_000
 _NEVER = 1 << 60
 
 
@@ -61,7 +63,34 @@ class Automaton:
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
         self.longest = max((len(x.removesuffix(end)) for x in vocab), default=1)
+        self._compile()
+
+    def _compile(self) -> None:
+        """Tables for encoding. Of the states that lack an arc for one token,
+        none descends from another, so in the order of a walk over the tree of
+        copies their descendants are disjoint intervals."""
+        n = len(self.parent)
+        size = [1] * n
+        for state in range(n - 1, 0, -1):  # copies come after what they copy
+            size[self.parent[state]] += size[state]
+        enter, free = [0] * n, [1] * n
+        for state in range(1, n):
+            up = self.parent[state]
+            enter[state] = enter[up] + free[up]
+            free[up] += size[state]
+        self._enter = enter
+        self._without: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        for state in sorted(range(1, n), key=enter.__getitem__):
+            starts, stops, made = self._without.setdefault(self.lacks[state], ([], [], []))
+            starts.append(enter[state])
+            stops.append(enter[state] + size[state])
+            made.append(self.made[state])
         self._arcs: dict[int, bool] = {}
+        # By its first three symbols, how long a token can be.
+        self._reach: dict[str, int] = {}
+        for text, token in self.vocab.items():
+            if self.usable[token] and not text.endswith(self.end):
+                self._reach[text[:3]] = max(self._reach.get(text[:3], 0), len(text))
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         r = self.target[u]
@@ -87,46 +116,82 @@ class Automaton:
             state = self.parent[state]
         return True
 
+    def _arc(self, state: int, token: int) -> bool:
+        """``_has`` by the compiled intervals."""
+        at, until = self._enter[state], _NEVER
+        while token >= 0:
+            if (lists := self._without.get(token)) is not None:
+                k = bisect_right(lists[0], at) - 1
+                if k >= 0 and at < lists[1][k] and lists[2][k] <= until:
+                    return False
+            until, token = self.born[token], self.left[token]
+        return True
+
     def step(self, state: int, token: int) -> bool:
         key = state << 20 | token
         known = self._arcs.get(key)
         if known is None:
             if len(self._arcs) >= CACHE_ARCS:
                 self._arcs.clear()
-            known = self._arcs[key] = self._has(state, token)
+            known = self._arcs[key] = self._arc(state, token)
         return known
 
-    def _labels(self, symbols: str, at: int) -> Iterator[tuple[int, int]]:
-        """Tokens that can be read at ``at``, longest first, with their ends."""
-        n, get = len(symbols), self.vocab.get
-        for stop in range(min(n, at + self.longest), at, -1):
-            token = get(symbols[at:stop] + self.end if stop == n else symbols[at:stop])
-            if token is not None and self.usable[token]:
-                yield token, stop
-
     def encode(self, symbols: str) -> list[int]:
-        """The accepted path for one word, given as byte symbols."""
-        path: list[int] = []
-        at, state, dead = 0, 0, set()
-        stack = [(at, state, self._labels(symbols, at))]
-        while at < len(symbols):
-            at, state, open_ = stack[-1]
-            for token, stop in open_:
-                goal = self.target[token]
-                if (stop, goal) not in dead and self.step(state, token):
-                    path.append(token)
-                    stack.append((stop, goal, self._labels(symbols, stop)))
-                    at = stop
-                    break
-            else:
-                dead.add((at, state))
-                stack.pop()
-                if not stack:
-                    raise ValueError(f"no token path for {symbols[:80]!r}")
-                path.pop()
-                at = stack[-1][0]
+        """The accepted path for one word, given as byte symbols: by the longest
+        label that has an arc, and only where that ends nowhere by search."""
+        n, at, state, path = len(symbols), 0, 0, []
+        get, usable, arcs, reach, target = self.vocab.get, self.usable, self._arcs.get, self._reach.get, self.target
+        while at < n:
+            token = get(symbols[at:] + self.end) if n - at <= self.longest else None
+            stop = n
+            while token is None or not usable[token] or not (arcs(state << 20 | token) or self.step(state, token)):
+                stop = min(n - 1, at + max(2, reach(symbols[at : at + 3], 0))) if stop == n else stop - 1
+                if stop <= at:
+                    return self._search(symbols)
+                token = get(symbols[at:stop])
+            path.append(token)
+            at, state = stop, target[token]
         return path
 
+    def _search(self, symbols: str) -> list[int]:
+        """The accepted path, by going back from dead ends. From a dead end
+        nothing is tried twice."""
+        n, get, usable, end, target = len(symbols), self.vocab.get, self.usable, self.end, self.target
+        path: list[tuple[int, int, int]] = []  # where each token starts, its state there, the token
+        at, state, stop, dead = 0, 0, n, set()
+        while at < n:
+            found = -1
+            limit = at + max(2, self._reach.get(symbols[at : at + 3], 0))
+            while stop > at:
+                if stop == n:
+                    token = get(symbols[at:] + end) if n - at <= self.longest else None
+                    after = min(n - 1, limit)
+                else:
+                    token, after = get(symbols[at:stop]), stop - 1
+                if token is not None and usable[token] and self.step(state, token) and (stop, target[token]) not in dead:
+                    found = token
+                    break
+                stop = after
+            if found >= 0:
+                path.append((at, state, found))
+                at, state, stop = stop, target[found], n
+                continue
+            dead.add((at, state))
+            if not path:
+                raise ValueError(f"no token path for {symbols[:80]!r}")
+            stop = at  # the token before ended here: go on with shorter ones
+            at, state, _ = path.pop()
+            stop = min(n - 1, at + max(2, self._reach.get(symbols[at : at + 3], 0))) if stop == n else stop - 1
+        return [token for _, _, token in path]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
 
 class Encoder:
     """Whole texts to ids and back, through the automaton."""
@@ -148,7 +213,7 @@ class Encoder:
 
     def _encode_chunk(self, chunk: str) -> tuple[bytes, str]:
         ids = [i for w in pretoken.words(chunk) for i in self._word[w]]
-        return np.array(ids, dtype="<u4").tobytes(), self.decode(ids)
+        return _packed(ids), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.label[i] for i in ids])
@@ -158,7 +223,7 @@ class Encoder:
         found: list[tuple[bytes, str]] = []
         for k, piece in enumerate(pretoken.split_special(text)):
             if k % 2:
-                found.append((np.array([self.special[piece]], dtype="<u4").tobytes(), piece))
+                found.append((_packed([self.special[piece]]), piece))
             else:
                 found += map(self._chunk.__getitem__, pretoken.chunks(piece))
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])

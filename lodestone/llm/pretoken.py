@@ -55,16 +55,20 @@ def chunks(piece: str) -> list[str]:
 
 
 class Cache(dict):
-    """A dict that computes what it lacks and forgets all beyond ``size``."""
+    """A dict that computes what it lacks. Of two generations of ``size`` the
+    older is forgotten when the younger is full; what is used moves up."""
 
     def __init__(self, make: Callable[[str], object], size: int):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key: str):
-        if len(self) >= self.size:
-            self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
