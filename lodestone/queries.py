@@ -121,8 +121,8 @@ def fact_antijoin(spark, sf):
 
 @query
 def split_sections(spark, sf):
-    d = _table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_sections(F.col("text"))).alias("at", "s"))
-    return d.select("doc_id", "at", "s.heading", F.sha2("s.text", 256).alias("sha"))
+    d = _table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_sections(F.col("text"))).alias("part_no", "s"))
+    return d.select("doc_id", "part_no", "s.heading", F.sha2("s.text", 256).alias("sha"))
 
 
 @query
@@ -278,7 +278,8 @@ def _cases(spark, sf):
 
 @query
 def gold_rank(spark, sf):
-    return _cases(spark, sf).select("q", "rank_fused", "rank_dense", "rank_bm25", "hit")
+    """Rank 0 where no chunk holds the fact."""
+    return _cases(spark, sf).select("q", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rank_fused", "rank_dense", "rank_bm25")), "hit")
 
 
 @query
@@ -293,7 +294,7 @@ def eval_regressions(spark, sf):
     """Against a run in which every question was found at rank 4."""
     now = _cases(spark, sf)
     was = now.select("q", F.lit(True).alias("hit"), F.lit(4).alias("rank_fused"))
-    return evaluate.regressions(now, was)
+    return evaluate.regressions(now, was).withColumn("rank_fused", F.coalesce("rank_fused", F.lit(0)))
 
 
 # --- conversations --------------------------------------------------------
