@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -30,10 +31,13 @@ class WordTable:
     def __init__(self, docs: list[list[str]]):
         at: dict[str, int] = {}
         self.docs = [np.array([at.setdefault(w, len(at)) for w in d], dtype=np.int64) for d in docs]
-        lists = [features(w) for w in at]
-        self.count = np.array([len(x) for x in lists], dtype=np.int64)
+        flat, count = array("i"), array("q")
+        for w in at:
+            found = features(w)
+            flat.extend(found)
+            count.append(len(found))
+        self.flat, self.count = np.array(flat, dtype=np.int32), np.array(count, dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.count)])
-        self.flat = np.fromiter((f for x in lists for f in x), dtype=np.int64, count=int(self.start[-1]))
 
 
 class WordScores(Cache):
