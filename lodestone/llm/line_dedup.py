@@ -4,52 +4,67 @@ A line is what ``\\n`` separates, compared without outer white space (128 bits
 of hash); blank lines are kept and skipped over. Of each window of ``window``
 lines the line of least hash is selected, so any run of that many lines that
 two places share has a selected line in common: the fingerprints are
-guaranteed. Positions of equal fingerprints are joined; matches are extended
-both ways from the fingerprint, by every stretch of ``window`` lines around it,
-and stretches that match an earlier place are merged to runs and deleted.
-
-A line is therefore deleted exactly if it lies in a stretch of ``window``
-lines that also starts at an earlier place, earlier meaning a smaller id, or
-the same document further up. Only the earliest place of a stretch is joined
-to the others, so a line that a third of all documents hold adds one row per
-place and not one per pair.
+guaranteed. A line of ``LONG`` characters or more, a paragraph, is selected by
+itself as well and is a run of its own. Positions of equal fingerprints are
+joined; matches are extended both ways from the fingerprint, by every stretch
+of ``window`` lines around it, and stretches that match an earlier place are
+merged to runs and deleted.
+
+A line is therefore deleted exactly if it lies in a stretch (``window`` lines,
+or one long line) that also starts at an earlier place, earlier meaning a
+smaller id, or the same document further up. Only the earliest place of a
+stretch is joined to the others, so a line that a third of all documents hold
+adds one row per place and not one per pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import id_text, stored
 
-WINDOW = 2
+WINDOW, LONG = 2, 200
+_SPACE = " \t\n\x0b\x0c\r"
 _EDGE = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 
 
-def _lines(text: Column) -> Column:
-    """Two hashes of each non-blank line, in order."""
+def _lines(text: Column, long: int) -> Column:
+    """Two hashes of each non-blank line, in order, and whether it is long."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _EDGE, ""))
-    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("2"), x).alias("b")))
+    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("2"), x).alias("b"), (F.length(x) >= long).alias("long")))
 
 
-def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """``(doc_id, at, mark, a, b)``: each stretch of ``window`` lines that holds
-    a selected fingerprint (so each stretch), by position and content."""
-    rows = id_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", _lines(F.col("text")).alias("lines"))
-    rows = rows.where(F.size("lines") >= window)
-    starts = F.sequence(F.lit(0), F.size("lines") - window)
-    around = F.transform(starts, lambda k: F.slice("lines", k + 1, window))
-    found = rows.select(
-        "doc_id",
-        F.posexplode(F.transform(around, lambda w: F.struct(F.array_min(F.transform(w, lambda x: x["a"])).alias("mark"), F.xxhash64(F.transform(w, lambda x: x["a"])).alias("a"), F.xxhash64(F.transform(w, lambda x: x["b"])).alias("b")))).alias("at", "s"),
+    a selected fingerprint (so each stretch) and each long line, by position and
+    content. ``at`` is twice the first line's number, plus one for a long line."""
+    rows = id_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", _lines(F.col("text"), long).alias("lines"))
+    # Shifted copies side by side: a lambda that looks into the whole array would
+    # have it computed anew for each line.
+    room = F.greatest(F.size("lines") - (window - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice("lines", k + 1, room).alias(str(k)) for k in range(window)))
+    around = F.transform(shifted, lambda z, k: F.struct((k * 2).alias("at"), F.array(*(z[str(j)] for j in range(window))).alias("w")))
+    alone = F.filter(F.transform("lines", lambda x, k: F.struct((k * 2 + 1).alias("at"), F.array(x).alias("w"))), lambda s: s["w"][0]["long"])
+    mark = F.transform(
+        F.concat(around, alone),
+        lambda s: F.struct(
+            s["at"].alias("at"),
+            F.array_min(F.transform(s["w"], lambda x: x["a"])).alias("mark"),
+            F.xxhash64(s["at"] % 2, F.transform(s["w"], lambda x: x["a"])).alias("a"),
+            F.xxhash64(s["at"] % 2, F.transform(s["w"], lambda x: x["b"])).alias("b"),
+        ),
     )
-    return found.select("doc_id", "at", "s.mark", "s.a", "s.b")
+    return rows.select("doc_id", F.explode(mark).alias("s")).select("doc_id", "s.at", "s.mark", "s.a", "s.b")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(doc_id, starts array<int>)``: where later repeats start, counted in
-    non-blank lines."""
-    places = stored(stretches(docs, id_col, text_col, window), "stretches")
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """``(doc_id, starts array<int>)``: where later repeats start, as ``at`` of
+    ``stretches``."""
+    places = stored(stretches(docs, id_col, text_col, window, long), "stretches")
     # The mark is a fingerprint: joining by it and extending to all lines of the
     # stretch is one key, so that partners of a frequent line are not paired up.
     key = ["mark", "a", "b"]
@@ -59,7 +74,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def _cutter(window: int):
+    @F.pandas_udf("text string, n_removed long")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts in batches:
+            out = []
+            for text, found in zip(texts, starts):
+                if text is None or found is None:
+                    out.append((text, 0))
+                    continue
+                lines = text.split("\n")
+                full = [k for k, x in enumerate(lines) if x.strip(_SPACE)]
+                gone = {full[k] for s in found.tolist() for k in range(s >> 1, (s >> 1) + (1 if s & 1 else window)) if k < len(full)}
+                out.append(("\n".join([x for k, x in enumerate(lines) if k not in gone]), len(gone)))
+            yield pd.DataFrame(out, columns=["text", "n_removed"])
+
+    return cut
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """``docs`` with repeated runs deleted from the text, plus the columns
     ``n_lines, n_removed`` (non-blank lines).
 
@@ -70,19 +103,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in the order: they neither delete nor lose lines. A null text stays null.
     Documents with no repeat keep their text byte for byte.
     """
-    found = repeated_lines(docs, id_col, text_col, window).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"))
+    found = repeated_lines(docs, id_col, text_col, window, long).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"))
     all_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*all_columns).join(found, F.col(id_col) == F.col("__id"), "left")
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    full = F.transform(parts, lambda x: F.regexp_replace(x, _EDGE, "") != "")
-    n_lines = F.size(F.filter(full, lambda x: x))
-    # For each line its number among the non-blank lines, folded from the left.
-    fold = "aggregate({flags}, named_struct('n', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('n', s.n + if(x, 1, 0), 'out', concat(s.out, array(if(x, s.n, -1)))), s -> s.out)"
-    rows = rows.withColumn("__flags", F.when(F.col("__starts").isNotNull(), full))
-    rows = rows.withColumn("__number", F.expr(fold.format(flags="__flags")))
-    gone = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (window - 1)))))
-    rows = rows.withColumn("__gone", gone)
-    left = F.transform(F.filter(F.arrays_zip(parts.alias("p"), F.col("__number").alias("q")), lambda z: ~F.array_contains(F.col("__gone"), z["q"])), lambda z: z["p"])
-    text = F.when(F.col("__starts").isNotNull() & F.col(text_col).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))
+    # Only documents that lose lines go through Python, in time linear in their length.
+    touched = F.col("__starts").isNotNull() & F.col(text_col).isNotNull()
+    rows = rows.withColumn("__cut", _cutter(window)(F.when(touched, F.col(text_col)), F.col("__starts")))
+    full = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.regexp_replace(x, _EDGE, "") != "")
+    text = F.when(touched, F.col("__cut.text")).otherwise(F.col(text_col))
     kept = [text.alias(c) if c == text_col else F.col(c) for c in all_columns]
-    return rows.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(F.array_intersect("__gone", "__number")), F.lit(0)).cast("long").alias("n_removed"))
+    return rows.select(*kept, F.size(full).cast("long").alias("n_lines"), F.col("__cut.n_removed").alias("n_removed"))

@@ -83,10 +83,13 @@ numbered as (
 pairs as (
   select doc_id, k, core, lead(core) over (partition by doc_id order by k) as follows from numbered),
 later as (
-  select doc_id, k from (
-    select doc_id, k, row_number() over (partition by core, follows order by doc_id, k) as n
-    from pairs where follows is not null) where n > 1),
-gone as (select doc_id, k from later union select doc_id, k + 1 from later),
+  select doc_id, k, stop from (
+    select doc_id, k, k + 1 as stop, row_number() over (partition by core, follows order by doc_id, k) as n
+    from pairs where follows is not null
+    union all
+    select doc_id, k, k, row_number() over (partition by core order by doc_id, k)
+    from numbered where length(core) >= 200) where n > 1),
+gone as (select doc_id, k from later union select doc_id, stop from later),
 left_over as (
   select f.doc_id, f.line_no, f.line, n.k, g.k is not null as gone
   from full_lines f left join numbered n on f.doc_id = n.doc_id and f.line_no = n.line_no

@@ -83,7 +83,7 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(frame(spark, []), hot=hot).count() == 0
 
 
-def brute_lines(rows, window=2):
+def brute_lines(rows, window=2, long=200):
     strip = lambda s: s.strip(" \t\n\r\x0b\x0c")
     places, out = {}, []
     split = [(i, (t or "").split("\n")) for i, t in rows]
@@ -92,11 +92,15 @@ def brute_lines(rows, window=2):
         for k in range(len(full) - window + 1):
             if i is not None:
                 places.setdefault(tuple(full[k : k + window]), []).append((i, k))
+        for k, x in enumerate(full):
+            if i is not None and len(x) >= long:
+                places.setdefault((x,), []).append((i, k))
     gone = {}
-    for at in places.values():
+    for stretch, at in places.items():
+        first = min(at)
         for i, k in at:
-            if (i, k) > min(at):
-                gone.setdefault(i, set()).update(range(k, k + window))
+            if (i, k) > first:
+                gone.setdefault(i, set()).update(range(k, k + len(stretch)))
     for (i, t), (_, lines) in zip(rows, split):
         k, left = 0, []
         for x in lines:
@@ -112,7 +116,9 @@ def brute_lines(rows, window=2):
 
 def test_line_dedup(spark):
     rnd = random.Random(3)
-    rows = ODD + [(i, "\n".join(rnd.choice(["aa", "bb ", "cc", "", "dd", "ee"]) for _ in range(rnd.randint(0, 9)))) for i in range(11, 60)]
+    long = ["é" * 199, "é" * 200 + " ", "p q " * 60]
+    rows = ODD + [(i, "\n".join(rnd.choice(["aa", "bb ", "cc", "", "dd", "ee", f"only {i}", *long]) for _ in range(rnd.randint(0, 9)))) for i in range(11, 60)]
+    rows += [(60, "p q " * 60), (60, None), (61, "\n".join(["same", "again"] * 20_000))]
     found = line_dedup.dedup_lines(frame(spark, rows))
     assert set(found.columns) == {"doc_id", "text", "fp", "kept", "bucket", "n_lines", "n_removed"}
     assert key((r.doc_id, r.text) for r in found.collect()) == key(brute_lines(rows))
