@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-#: Texts are taken in groups of about so many characters, which bounds memory.
+#: Texts are taken in groups of about so many bytes, which bounds memory.
 _GROUP = 4_000_000
 
 
@@ -93,13 +94,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
         tool, part, before = counter(tokenizer), TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(2, "little")
         for batch in batches:
-            texts, start = batch.column(1).to_pylist(), 0
-            while start < len(texts):
+            sizes, start = pc.binary_length(batch.column(1)).to_pylist(), 0
+            while start < len(sizes):
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size < _GROUP):
-                    size += len(texts[stop])
+                while stop < len(sizes) and (stop == start or size < _GROUP):
+                    size += sizes[stop]
                     stop += 1
-                ids = [x + end for x in tool.ids(texts[start:stop])]
+                ids = [x + end for x in tool.ids(batch.column(1).slice(start, stop - start).to_pylist())]
                 n = np.fromiter((len(x) // 2 for x in ids), dtype=np.int64, count=len(ids))
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import id_text
 from lodestone.llm.pretoken import Cache
 
-BUCKETS, GRAMS, CACHE_WORDS = 1 << 18, (3, 4, 5), 400_000
+BUCKETS, GRAMS, CACHE_WORDS = 1 << 18, (3, 4, 5), 200_000
 #: Bounds of the sample that a classifier is fitted on: rows of each class, and
 #: the longest text taken (in characters).
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 50_000

@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +120,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         of = model.scorer()
         for batch in batches:
-            both = [of(t) for t in batch.column(1).to_pylist()]
+            both = [of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in both], pa.float64()), pa.array([len(b[1]) for b in both], pa.int32()), pa.array([int(b[1].argmax()) if len(b[1]) else None for b in both], pa.int32())], ["doc_id", "score", "n_sentences", "worst_sentence"])
 
     rows = id_text(docs, id_col, text_col)
@@ -133,10 +132,11 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
     """The rows of ``docs`` that score under ``threshold``, all columns as they
     are; repeated rows and rows with null ids or texts are judged one by one."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for texts in batches:
-            yield texts.map(lambda t: of(t or "")[0]).astype("float64")
+            # One text at a time: a batch of long documents is not held twice.
+            yield pa.array([of(t.as_py() or "")[0] for t in texts], pa.float64())
 
     return docs.where(run(F.col(text_col)) < threshold)
