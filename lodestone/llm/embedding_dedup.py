@@ -13,8 +13,10 @@
    to the end are enlarged to their whole component: tile by tile all pairs
    are compared in double precision, which keeps the true links, counts them
    and confirms the component.
-5. An audit compares a hash sample of at most ``AUDIT`` nodes with all nodes by
-   brute force. Under ``RECALL`` the search goes on with further hyperplanes.
+5. An audit compares a hash sample with all nodes by brute force. The sample
+   grows until it holds ``LINKED`` linked nodes of few links, which one large
+   cluster cannot outweigh. Under ``RECALL`` of these nodes, or without so much
+   evidence, the search goes on with further hyperplanes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from lodestone.llm.common import merge_labels, stored
 from lodestone.llm.components import components
 
 THRESHOLD, NEIGHBOURS, TREES, PLANES, BLOCK, ROUNDS = 0.9, 8, 3, 24, 256, 3
-TILE, AUDIT, RECALL, PASSES = 1024, 512, 0.97, 3
+TILE, RECALL, PASSES = 1024, 0.97, 3
+#: The audit's first sample and its bound; the linked nodes it must see that
+#: have at most ``SMALL`` others in reach.
+AUDIT, AUDIT_MOST, LINKED, SMALL = 512, 8192, 200, 32
 #: Candidates come from single precision; the final comparison is exact.
 _SLACK = 1e-5
 _log = logging.getLogger(__name__)
@@ -210,30 +215,56 @@ def _exact(nodes: DataFrame, candidates: DataFrame, threshold: float, tile: int)
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "kind int, a long, b long")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> float:
-    """Share of the true links of a hash sample of nodes that ``counts(node,
-    n_links)`` has; 1 if they have none. At most ``sample`` rows are compared
-    with all."""
-    picked = nodes.select("node", "dim", "v", "weight").orderBy(F.xxhash64("node", F.lit("audit"))).limit(sample).toPandas()
-    if picked.empty:
-        return 1.0
+def _true_links(nodes: DataFrame, picked, threshold: float) -> DataFrame:
+    """For each picked node with links ``(node, n, others)``: its links, and the
+    nodes they lead to, by brute force."""
     by_dim = {int(d): (g.index.to_numpy(), _units(pa.array(g["v"])), g["node"].to_numpy()) for d, g in picked.groupby("dim")}
+    names = picked["node"].to_numpy()
 
     def count(batches):
-        total = np.zeros(len(picked), np.int64)
+        total, others = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
-            for dim in np.unique(dims):
-                if int(dim) in by_dim:
-                    part = batch.filter(pa.array(dims == dim))
-                    index, unit, name = by_dim[int(dim)]
-                    hit = (unit @ _units(part.column("v")).T >= threshold) & (name[:, None] != np.asarray(part.column("node"))[None, :])
-                    total[index] += hit @ np.asarray(part.column("weight"))
-        yield pa.RecordBatch.from_arrays([pa.array(picked["node"]), pa.array(total)], ["node", "n"])
-
-    true = nodes.select("node", "dim", "v", "weight").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    both = true.join(counts.select("node", "n_links"), "node", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+            for dim in set(np.unique(dims).tolist()) & by_dim.keys():
+                same = batch.filter(pa.array(dims == dim))
+                index, unit, name = by_dim[dim]
+                for at in range(0, same.num_rows, TILE):
+                    part = same.slice(at, TILE)
+                    i, j = np.nonzero((unit @ _units(part.column("v")).T >= threshold) & (name[:, None] != np.asarray(part.column("node"))[None, :]))
+                    total[index] += np.bincount(i, np.asarray(part.column("weight"))[j], len(name)).astype(np.int64)
+                    others[index] += np.bincount(i, minlength=len(name))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(others)], ["node", "n", "others"])
+
+    found = nodes.select("node", "dim", "v", "weight").mapInArrow(count, "node long, n long, others long")
+    return found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("others").alias("others")).where("n > 0")
+
+
+def evidence(nodes: DataFrame, size: int, threshold: float = THRESHOLD) -> tuple[list, bool]:
+    """``(node, n, others)`` for the linked nodes of a hash sample, and whether
+    they say enough: ``LINKED`` of them have few links, or all nodes are in."""
+    parts = max(1, size // AUDIT)
+    part = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(parts))
+    rows, done, upto = [], 0, 1
+    while True:
+        picked = nodes.where((part >= done) & (part < upto)).select("node", "dim", "v").toPandas()
+        if not picked.empty:
+            rows += _true_links(nodes, picked, threshold).collect()
+        enough = upto >= parts or sum(r.others <= SMALL for r in rows) >= LINKED
+        if enough or upto >= AUDIT_MOST // AUDIT:
+            return rows, enough
+        done, upto = upto, min(2 * upto, parts, AUDIT_MOST // AUDIT)
+
+
+def audit(rows: list, enough: bool, counts: DataFrame) -> float:
+    """Share of the sampled linked nodes whose links ``counts(node, n_links)``
+    has to the last one: the lesser of the shares among nodes of few links and
+    among the others. 0 without enough evidence."""
+    if not enough or not rows:
+        return float(enough)
+    truth = counts.sparkSession.createDataFrame([tuple(r) for r in rows], "node long, n long, others long")
+    whole = F.avg((F.coalesce("n_links", F.lit(0)) >= F.col("n")).cast("double"))
+    shares = truth.join(counts, "node", "left").groupBy(F.col("others") <= SMALL).agg(whole.alias("share")).collect()
+    return min(r.share for r in shares)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, keep: int = NEIGHBOURS, rounds: int = ROUNDS, tile: int = TILE) -> DataFrame:
@@ -246,6 +277,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     rows, nodes = nodes_of(vectors, id_col, vec_col)
     pairs, lists = None, None
+    linked_rows, enough = evidence(nodes, nodes.count(), threshold)
     for attempt in range(PASSES):
         found = _first_lists(nodes, attempt, keep, threshold)
         found = stored(found if lists is None else found.unionByName(lists.select("src", "dst", "sim")), "found")
@@ -261,7 +293,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 break
         exact = stored(_exact(nodes, pairs, threshold, tile), "exact")
         counts = stored(exact.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links")), "counts")
-        recall = audit(nodes, counts, threshold)
+        recall = audit(linked_rows, enough, counts)
         _log.info("audited recall %.4f after pass %d", recall, attempt + 1)
         if recall >= RECALL:
             break

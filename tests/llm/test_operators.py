@@ -200,6 +200,34 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def pairs_and_cluster(spark, n=3000, cluster=1000, pairs=600, dim=64):
+    """One cluster, isolated pairs of cosine 0.92, and single vectors."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:cluster] = v[0] + 0.01 * rng.standard_normal((cluster, dim))
+    a = np.arange(cluster, cluster + pairs)
+    away = v[a + pairs] - (v[a + pairs] * v[a]).sum(axis=1, keepdims=True) * v[a]
+    v[a + pairs] = 0.92 * v[a] + np.sqrt(1 - 0.92**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    return a, a + pairs, spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+
+
+def test_embedding_audit_sees_lost_pairs_beside_a_cluster(spark):
+    a, b, table = pairs_and_cluster(spark)
+    # Without local joins the first orders lose pairs; the cluster's links alone do not end the search.
+    found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table, rounds=0).collect()}
+    assert np.mean([found[x] == found[y] for x, y in zip(a.tolist(), b.tolist())]) >= embedding_dedup.RECALL
+    assert {found[k] for k in range(1000)} == {0}
+
+
+def test_embedding_audit_without_evidence_does_not_pass(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "AUDIT_MOST", embedding_dedup.AUDIT)
+    _, nodes = embedding_dedup.nodes_of(pairs_and_cluster(spark, 3000, 0, 5)[2], "vec_id", "embedding")
+    rows, enough = embedding_dedup.evidence(nodes, nodes.count())
+    nothing = spark.createDataFrame([], "node long, n_links long")
+    assert not enough and embedding_dedup.audit(rows, enough, nothing) == 0
+
+
 def test_bpe_and_packing(spark):
     from tokenizers import Tokenizer
 
