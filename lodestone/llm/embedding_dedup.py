@@ -15,8 +15,11 @@
    and confirms the component.
 5. An audit compares a hash sample with all nodes by brute force. The sample
    grows until it holds ``LINKED`` linked nodes of few links, which one large
-   cluster cannot outweigh. Under ``RECALL`` of these nodes, or without so much
-   evidence, the search goes on with further hyperplanes.
+   cluster cannot outweigh. Under ``RECALL`` of these nodes the search goes on
+   with further hyperplanes; the number of orders grows with log2 of the nodes.
+6. What ``PASSES`` passes leave under ``RECALL``, what an audit without so much
+   evidence cannot judge, and a failed table of at most ``WHOLE`` nodes end in
+   a comparison of all nodes with all, in waves of ``WAVE``. It is exact.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import merge_labels, stored
+from lodestone.llm.common import merge_labels, scratch_dir, stored
 from lodestone.llm.components import components
 
 THRESHOLD, NEIGHBOURS, TREES, PLANES, BLOCK, ROUNDS = 0.9, 8, 3, 24, 256, 3
@@ -37,6 +40,8 @@ TILE, RECALL, PASSES = 1024, 0.97, 3
 #: The audit's first sample and its bound; the linked nodes it must see that
 #: have at most ``SMALL`` others in reach.
 AUDIT, AUDIT_MOST, LINKED, SMALL = 512, 8192, 200, 32
+#: Up to ``WHOLE`` nodes comparing all costs less than another pass.
+WAVE, WHOLE = 4096, 1 << 16
 #: Candidates come from single precision; the final comparison is exact.
 _SLACK = 1e-5
 _log = logging.getLogger(__name__)
@@ -112,14 +117,19 @@ def nodes_of(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
     return rows.select("vec_id", "node"), stored(nodes.withColumn("dim", F.size("v")), "nodes")
 
 
-def _first_lists(nodes: DataFrame, seed: int, keep: int, threshold: float) -> DataFrame:
+def _orders(size: int) -> int:
+    """``TREES`` up to 4,096 nodes, one more for each doubling."""
+    return TREES + max(0, (size - 1).bit_length() - 12)
+
+
+def _first_lists(nodes: DataFrame, seed: int, keep: int, threshold: float, trees: int = TREES) -> DataFrame:
     def code(batches):
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 unit = _units(part.column("v"))
-                for tree in range(TREES):
+                for tree in range(trees):
                     planes = np.random.default_rng([seed, tree, int(dim)]).standard_normal((int(dim), PLANES))
                     bits = (unit @ planes > 0).astype(np.int64) @ (1 << np.arange(PLANES, dtype=np.int64))[::-1]
                     yield pa.RecordBatch.from_arrays([part.column("node"), part.column("dim"), pa.array(np.full(len(unit), tree, np.int32)), pa.array(bits), part.column("v")], ["node", "dim", "tree", "code", "v"])
@@ -215,6 +225,47 @@ def _exact(nodes: DataFrame, candidates: DataFrame, threshold: float, tile: int)
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "kind int, a long, b long")
 
 
+def _all_links(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """As ``_exact``, for all nodes: each wave of nodes travels to all others,
+    whose vectors stay where they are."""
+    waves = max(1, -(-size // WAVE))
+    path = f"{scratch_dir(nodes.sparkSession)}/all"
+    schema = "kind int, a long, b long"
+    for k in range(waves):
+        picked = nodes.where(F.pmod(F.xxhash64("node", F.lit("wave")), F.lit(waves)) == k).select("node", "dim", "v").toPandas()
+        by_dim = {int(d): (_units(pa.array(g["v"])), g["node"].to_numpy()) for d, g in picked.groupby("dim")}
+
+        def compare(batches, by_dim=by_dim):
+            label = {d: np.arange(len(name)) for d, (_, name) in by_dim.items()}
+            links = {d: np.zeros(len(name), np.int64) for d, (_, name) in by_dim.items()}
+            for batch in batches:
+                dims = np.asarray(batch.column("dim"))
+                for dim in set(np.unique(dims).tolist()) & by_dim.keys():
+                    same = batch.filter(pa.array(dims == dim))
+                    unit, name = by_dim[dim]
+                    for at in range(0, same.num_rows, TILE):
+                        part = same.slice(at, TILE)
+                        other = np.asarray(part.column("node"))
+                        i, j = np.nonzero((unit @ _units(part.column("v")).T >= threshold) & (name[:, None] != other[None, :]))
+                        if len(i):
+                            links[dim] += np.bincount(i, np.asarray(part.column("weight"))[j], len(name)).astype(np.int64)
+                            before = np.concatenate([label[dim], len(name) + np.arange(len(other))])
+                            after = merge_labels(len(before), i, len(name) + j, before)
+                            new, both = np.flatnonzero(after != before), np.concatenate([name, other])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int32)), pa.array(both[new]), pa.array(both[after[new]])], ["kind", "a", "b"])
+                            label[dim] = after[: len(name)]
+            for dim, (_, name) in by_dim.items():
+                some = np.flatnonzero(links[dim])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(name[some]), pa.array(links[dim][some])], ["kind", "a", "b"])
+
+        nodes.select("node", "dim", "v", "weight").mapInArrow(compare, schema).write.mode("append").parquet(path)
+    return nodes.sparkSession.read.schema(schema).parquet(path)
+
+
+def _counts(exact: DataFrame) -> DataFrame:
+    return stored(exact.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links")), "counts")
+
+
 def _true_links(nodes: DataFrame, picked, threshold: float) -> DataFrame:
     """For each picked node with links ``(node, n, others)``: its links, and the
     nodes they lead to, by brute force."""
@@ -277,9 +328,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     rows, nodes = nodes_of(vectors, id_col, vec_col)
     pairs, lists = None, None
-    linked_rows, enough = evidence(nodes, nodes.count(), threshold)
+    size = nodes.count()
+    linked_rows, enough = evidence(nodes, size, threshold)
     for attempt in range(PASSES):
-        found = _first_lists(nodes, attempt, keep, threshold)
+        found = _first_lists(nodes, attempt, keep, threshold, _orders(size))
         found = stored(found if lists is None else found.unionByName(lists.select("src", "dst", "sim")), "found")
         pairs = found.where(F.col("sim") >= threshold - _SLACK).select("src", "dst") if pairs is None else pairs.union(found.where(F.col("sim") >= threshold - _SLACK).select("src", "dst"))
         lists = stored(_best(found.where("sim < 2.5"), keep, threshold, 0), "lists")
@@ -292,11 +344,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             if lists.join(before, ["src", "dst"], "left_anti").count() < 0.01 * total:
                 break
         exact = stored(_exact(nodes, pairs, threshold, tile), "exact")
-        counts = stored(exact.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links")), "counts")
+        counts = _counts(exact)
         recall = audit(linked_rows, enough, counts)
         _log.info("audited recall %.4f after pass %d", recall, attempt + 1)
         if recall >= RECALL:
             break
+        if not enough or size <= WHOLE or attempt + 1 == PASSES:
+            _log.info("comparing all %d nodes", size)
+            exact = _all_links(nodes, size, threshold)
+            counts = _counts(exact)
+            break
     joined = components(exact.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     rooted = nodes.select("node", "least_id", "weight").join(joined, "node", "left").join(counts, "node", "left")
     rooted = stored(rooted.select("node", "least_id", (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root")), "rooted")

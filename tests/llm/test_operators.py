@@ -228,6 +228,23 @@ def test_embedding_audit_without_evidence_does_not_pass(spark, monkeypatch):
     assert not enough and embedding_dedup.audit(rows, enough, nothing) == 0
 
 
+@pytest.mark.parametrize("whole", [0, 1 << 16])
+def test_embedding_dedup_ends_exactly_where_passes_do_not_reach(spark, monkeypatch, whole):
+    for name, value in (("BLOCK", 4), ("PASSES", 2), ("WAVE", 500), ("WHOLE", whole)):
+        monkeypatch.setattr(embedding_dedup, name, value, raising=name in ("BLOCK", "PASSES"))
+    a, b, table = pairs_and_cluster(spark)
+    copy = table.where("vec_id = 1000").selectExpr("9000L as vec_id", "embedding")
+    short = spark.createDataFrame([(9001, [1.0, 2.0]), (9002, [2.0, 4.1])], table.schema)
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(table.union(copy).union(short), rounds=0).collect()}
+    assert all((found[x].component_id, found[y].component_id, found[x].n_links) == (x, x, 1 + (x == 1000)) for x, y in zip(a.tolist(), b.tolist()))
+    assert (found[1600].n_links, found[9000].n_links, found[9000].component_id, found[9002].component_id) == (2, 2, 1000, 9001)
+    assert {(found[k].component_id, found[k].n_links) for k in range(1000)} == {(0, 999)}
+
+
+def test_embedding_dedup_orders_grow_with_the_table():
+    assert [embedding_dedup._orders(n) for n in (0, 1, 4096, 4097, 60_000, 1 << 20)] == [3, 3, 3, 4, 7, 11]
+
+
 def test_bpe_and_packing(spark):
     from tokenizers import Tokenizer
 
