@@ -178,3 +178,12 @@ def test_entry(spark):
 
     names = e.queries()
     assert set(e.oracle_sql()) <= set(names) and e.entry(spark).count() > 0
+
+
+def test_dense_scores_questions_in_blocks(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(3)], "id long, vector array<double>")
+    asked = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(7)], "q long, vector array<double>")
+    whole = sorted(map(tuple, retrieval.dense(chunks, asked).collect()))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 3)
+    assert len(whole) == 21 and sorted(map(tuple, retrieval.dense(chunks, asked).collect())) == whole
+    assert retrieval.dense(chunks, asked.limit(0)).count() == 0
