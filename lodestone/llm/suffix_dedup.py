@@ -107,7 +107,8 @@ class Batch:
             for at in range(8, self.seed - 8, 8):
                 part = _mix(part + word[at : at + m] * _C[1])
             h[a : a + m] = _mix(part + word[self.seed - 8 : self.seed - 8 + m] * _C[2])
-        rank = (h >> np.uint64(32)).astype(np.uint32)
+        # From 1 on, as 0 stands for no window.
+        rank = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))
         # Windows lie within one document; elsewhere their minimum counts as none.
         low = _sliding(np.minimum, np.concatenate([rank, np.full(span, 2**32 - 1, np.uint32)]), span)[:n]
         inside = np.zeros(n + 1, np.int32)  # documents whose strings start here: one or none

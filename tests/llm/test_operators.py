@@ -245,6 +245,12 @@ def test_embedding_dedup_orders_grow_with_the_table():
     assert [embedding_dedup._orders(n) for n in (0, 1, 4096, 4097, 60_000, 1 << 20)] == [3, 3, 3, 4, 7, 11]
 
 
+def test_suffix_anchor_of_the_least_hash(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_mix", np.zeros_like)
+    batch = suffix_dedup.Batch({"ids": np.array([1], "<i8").tobytes(), "sizes": np.array([50], "<i8").tobytes(), "text": bytes(range(50))}, 50, 24)
+    assert len(batch.anchors()[0])
+
+
 def test_bpe_and_packing(spark):
     from tokenizers import Tokenizer
 
