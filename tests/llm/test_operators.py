@@ -251,6 +251,15 @@ def test_suffix_anchor_of_the_least_hash(monkeypatch):
     assert len(batch.anchors()[0])
 
 
+def test_ibans_of_the_whole_registry():
+    for code in ("RO49AAAA1B31007593840000", "TR330006100519786457841326", "BG80BNBG96611020345678", "HR1210010051863000160", "SK3112000000198742637541", "SI56263300012039086", "EE382200221020145685", "LV80BANK0000435195001", "LT121000011101001000", "SA0380000000608010167519"):
+        wrong = code[:-1] + str((int(code[-1]) + 1) % 10)
+        assert (pii.mod97(code), pii.mod97(wrong), pii.mod97(code[:-1])) == (True, False, False)
+        # A base span that happens to lie inside stays and comes first.
+        assert pii.base_spans(code) or pii.mask(f"account {code} x") == "account [IBAN] x"
+    assert pii.mask("account TR330006100519786457841326, HR1210010051863000160") == "account [IBAN], [IBAN]"
+
+
 def test_bpe_and_packing(spark):
     from tokenizers import Tokenizer
 
