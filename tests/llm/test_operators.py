@@ -83,48 +83,73 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(frame(spark, []), hot=hot).count() == 0
 
 
-def brute_lines(rows, window=2, long=200):
-    strip = lambda s: s.strip(" \t\n\r\x0b\x0c")
-    places, out = {}, []
-    split = [(i, (t or "").split("\n")) for i, t in rows]
-    for i, lines in split:
-        full = [strip(x) for x in lines if strip(x)]
-        for k in range(len(full) - window + 1):
-            if i is not None:
-                places.setdefault(tuple(full[k : k + window]), []).append((i, k))
-        for k, x in enumerate(full):
-            if i is not None and len(x) >= long:
-                places.setdefault((x,), []).append((i, k))
-    gone = {}
-    for stretch, at in places.items():
-        first = min(at)
-        for i, k in at:
-            if (i, k) > first:
-                gone.setdefault(i, set()).update(range(k, k + len(stretch)))
-    for (i, t), (_, lines) in zip(rows, split):
-        k, left = 0, []
-        for x in lines:
-            if strip(x):
-                if k not in gone.get(i, ()):
-                    left.append(x)
-                k += 1
-            else:
-                left.append(x)
-        out.append((i, None if t is None else "\n".join(left) if i in gone else t))
-    return out
-
-
-def test_line_dedup(spark):
+def brute_lines(rows, gram=line_dedup.GRAM, window=line_dedup.WINDOW):
+    """Windows, selection, first places and extension, one line at a time."""
+    docs, places = {}, []
+    for i, t in rows:
+        if i is None or (i, t or "") in docs:
+            continue
+        full = [(n, x.strip(" \t\n\r\x0b\x0c")) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+        words = [len(re.findall("[^\x20\x09-\x0d]+", x)) for _, x in full]
+        reach = lambda k, n: next((e for e in range(k, len(full)) if sum(words[k : e + 1]) >= n), None)
+        name = lambda k, e: hashlib.md5("\n".join(x for _, x in full[k : e + 1]).encode()).hexdigest()
+        grams = {k: (name(k, e), e) for k in range(len(full)) if (e := reach(k, gram)) is not None}
+        windows = [(k, e) for k in range(len(full)) if (e := reach(k, window)) is not None]
+        windows = windows or [(0, len(full) - 1)]
+        picked = sorted({min(inside)[1] * -1 for k, e in windows if (inside := [(grams[g][0], -g) for g in range(k, e + 1) if g in grams and grams[g][1] <= e])})
+        docs[i, t or ""] = full
+        for n, k in enumerate(picked):
+            lo, hi = picked[n - 1] if n else 0, picked[n + 1] if n + 1 < len(picked) else len(full) - 1
+            order = (i, xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), k)
+            places.append((grams[k][0], order, (i, t or ""), grams[k][1], lo, hi))
+    first, gone = {}, {}
+    for p in sorted(places, key=lambda p: p[1]):
+        first.setdefault(p[0], p)
+    for g, order, doc, e, lo, hi in places:
+        _, f_order, f_doc, f_e, f_lo, f_hi = first[g]
+        if order > f_order:
+            mine, other, a, b = docs[doc], docs[f_doc], order[2], e
+            while a > lo and f_order[2] - (order[2] - a) > f_lo and mine[a - 1][1] == other[f_order[2] - (order[2] - a) - 1][1]:
+                a -= 1
+            while b < hi and f_e + (b - e) < f_hi and mine[b + 1][1] == other[f_e + (b - e) + 1][1]:
+                b += 1
+            gone.setdefault(doc, set()).update(range(mine[a][0], mine[b][0] + 1))
+    return [(i, t if (i, t or "") not in gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows]
+
+
+def line_rows():
     rnd = random.Random(3)
-    long = ["é" * 199, "é" * 200 + " ", "p q " * 60]
-    rows = ODD + [(i, "\n".join(rnd.choice(["aa", "bb ", "cc", "", "dd", "ee", f"only {i}", *long]) for _ in range(rnd.randint(0, 9)))) for i in range(11, 60)]
-    rows += [(60, "p q " * 60), (60, None), (61, "\n".join(["same", "again"] * 20_000))]
-    found = line_dedup.dedup_lines(frame(spark, rows))
-    assert set(found.columns) == {"doc_id", "text", "fp", "kept", "bucket", "n_lines", "n_removed"}
-    assert key((r.doc_id, r.text) for r in found.collect()) == key(brute_lines(rows))
+    para = [" ".join("p%d_%d" % (k, j) for j in range(n)) for k, n in enumerate((9, 10, 19, 20, 21, 60))] + ["é" * 300, "  tail  of one \t"]
+    some = ["aa", "bb ", "cc", "", " \t", "dd ee", "ee", "ff gg hh", *para]
+    rows = ODD + [(i, "\n".join(rnd.choice([*some, f"only {i}"]) for _ in range(rnd.randint(0, 14)))) for i in range(11, 120)]
+    block = "\n".join(["u%d v%d w%d" % (k, k, k) for k in range(40)])
+    rows += [(i, f"start {i}\n{block}\n\nend {i}") for i in range(200, 210)] + [(210, block + "\n" + block), (210, "x\n" + block), (210, None)]
+    return rows + [(300, "\n".join(["same", "again"] * 2_000))]
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT_SHARE, 1.0])
+def test_line_dedup(spark, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_GROUP", 2000)
+    rows = line_rows()
+    monkeypatch.setattr(line_dedup.repeated_runs, "__defaults__", (*line_dedup.repeated_runs.__defaults__[:-1], hot))
+    found = line_dedup.dedup_lines(spark.createDataFrame([(i, t, 7, "k", None, 9) for i, t in rows], "doc_id long, text string, fp int, gone string, gram_a string, n_lines int"))
+    assert set(found.columns) == {"doc_id", "text", "fp", "gone", "gram_a", "n_lines", "n_removed"}
+    got, want = found.collect(), brute_lines(rows)
+    assert key((r.doc_id, r.text) for r in got) == key(want)
+    assert sum(r.n_removed for r in got) > 400 and all(r.n_lines == 4_000 for r in got if r.doc_id == 300)
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_the_first_of_equal_lines_and_finds_windows(spark):
+    rows = line_rows()
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()]
+    strip = lambda t: {x.strip() for x in (t or "").split("\n")}
+    assert set().union(*(strip(t) for _, t in rows)) - {""} == set().union(*(strip(t) for _, t in got)) - {""}
+    # A line of a whole window's words stands once per id at most.
+    long = [x for i, t in got if i is not None for x in (t or "").split("\n") if len(x.split()) >= line_dedup.WINDOW and i < 200]
+    assert len(long) == len(set(long))
+
+
 def test_exact_dedup(spark):
     found = exact_dedup.exact_duplicates(frame(spark), capacity=1, max_depth=4).collect()
     norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for i, t in ODD]
