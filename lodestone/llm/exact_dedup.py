@@ -1,30 +1,33 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-DataFrame operations only. The index is built in three steps:
-
-1. *Chains.* Equal normalised texts become one entry: documents are grouped by
-   hash, digest and the text itself, so Spark compares the bytes and two texts
-   of equal hash get two entries in one chain. Copies are combined before the
-   shuffle, so a group with a third of all rows arrives as one row per task.
-2. *Directory.* The entries per hash prefix are counted. A bucket over its
-   capacity is split by its next leading bit, and the directory doubles when
-   the split bucket is as deep as the directory, up to ``MAX_DEPTH`` bits;
-   beyond that a bucket has chained pages. The directory has at most
-   ``2 ** MAX_DEPTH`` slots whatever the input, so it is a small table.
-3. *Pages.* Entries without texts are written in key ranges, so that each
-   task owns neighbouring buckets.
-
-Each document is then looked up by bucket, hash and digest.
+DataFrame operations only. A text's key is a 64-bit hash of its normal form,
+and a bucket holds the keys that share some leading bits:
+
+1. *Directory.* Distinct keys are counted per prefix. A bucket over its capacity
+   is split by its next leading bit, and the directory doubles when the bucket
+   is as deep as the directory. It is as deep as the keys need: up to
+   ``MAX_DEPTH`` bits, beyond which buckets grow instead, so the table of slots
+   that is broadcast has at most ``2 ** MAX_DEPTH`` rows of 8 bytes.
+2. *Buckets.* The directory gives each document its bucket, and the texts are
+   partitioned by bucket, once. The task that owns a bucket, a range of keys,
+   puts the texts of equal key into one chain and compares them byte for byte:
+   an entry of the chain has the least id and the number of its copies. Keys of
+   very many rows (at most ``1 / HOT_SHARE`` of them) are combined before they
+   are sent, so a text that a third of all rows hold is a few rows to its owner.
+3. *Lookup.* Pages without texts are written, partitioned by bucket; each
+   document finds its entry by bucket, key and, along the chain, digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import id_text, stored
 
-MAX_DEPTH, BUCKET_ENTRIES = 12, 4096
+MAX_DEPTH, BUCKET_ENTRIES, HOT_SHARE = 20, 4096, 0.001
 #: Fixed by the operator's definition of equal texts.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
@@ -50,33 +53,53 @@ def directory(counts: dict[int, int], capacity: int = BUCKET_ENTRIES, max_depth:
     return slots
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, text: bool = False) -> DataFrame:
-    rows = id_text(docs, id_col, text_col).select("doc_id", F.regexp_replace("text", SPACE_RUN, " ").alias("norm"))
-    return rows.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"), *["norm"] * text)
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Index pages ``(bucket, h, text_sha256, keep_id, group_size)``."""
-    spark = docs.sparkSession
-    chains = keyed(docs, id_col, text_col, text=True).groupBy("h", "text_sha256", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = stored(chains.drop("norm").withColumn("prefix", F.shiftrightunsigned("h", 64 - max_depth).cast("int")), "entries")
-    counts = {r["prefix"]: r["count"] for r in entries.groupBy("prefix").count().collect()}  # 2 ** max_depth rows at most
-    slots = directory(counts, capacity, max_depth)
-    shift = max_depth - (len(slots).bit_length() - 1)
-    table = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(slots)], "slot int, bucket int")
-    placed = entries.withColumn("slot", F.shiftright("prefix", shift)).join(F.broadcast(table), "slot")
-    pages = placed.select("bucket", "h", "text_sha256", "keep_id", "group_size").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h")
-    return stored(pages, "pages")
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
+def normal(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE_RUN, " ")
+
+
+class Index:
+    """``place`` gives documents with a column ``h`` their bucket; ``pages`` has
+    ``(bucket, h, text_sha256, keep_id, group_size)``."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH, hot_share: float = HOT_SHARE, hash_of: Callable[[Column], Column] = F.xxhash64):
+        rows = id_text(docs, id_col, text_col).select("doc_id", normal(F.col("text")).alias("norm"))
+        # Documents without texts, read again for the lookup.
+        self.probes = stored(rows.select("doc_id", hash_of(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("digest")), "probes")
+        keys = stored(self.probes.groupBy("h").agg(F.count("*").alias("n")), "keys")
+        total = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        # A few bits more than buckets of even size would take.
+        self.bits = min(max_depth, max(1, (total["keys"] // capacity).bit_length() + 4))
+        self.slots = self._slots(keys, capacity)
+        hot = keys.where(F.col("n") >= max(2.0, hot_share * total["rows"])).select("h")  # 1 / hot_share rows at most
+        texts = self.place(rows.withColumn("h", hash_of(F.col("norm"))))
+        key = ["bucket", "h", "norm"]
+        common = texts.join(F.broadcast(hot), "h", "left_semi").groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        others = texts.join(F.broadcast(hot), "h", "left_anti").select(*key, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+        owned = common.unionByName(others).repartition("bucket")
+        chains = owned.groupBy(*key).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        entries = chains.select("bucket", "h", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size")
+        self.pages = stored(entries.sortWithinPartitions("bucket", "h"), "pages")
+
+    def _slots(self, keys: DataFrame, capacity: int) -> DataFrame:
+        prefix = F.shiftrightunsigned("h", 64 - self.bits).cast("int")
+        counts = {r["prefix"]: r["count"] for r in keys.groupBy(prefix.alias("prefix")).count().collect()}  # 2 ** bits rows at most
+        slots = directory(counts, capacity, self.bits)
+        self.depth = len(slots).bit_length() - 1
+        return keys.sparkSession.createDataFrame([(k, b) for k, (b, _) in enumerate(slots)], "slot int, bucket int")
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        slot = F.shiftrightunsigned("h", 64 - self.depth).cast("int") if self.depth else F.lit(0)
+        return rows.withColumn("slot", slot).join(F.broadcast(self.slots), "slot").drop("slot")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null texts equal empty ones. A null id is never kept while its group has an
     id; in a group with null ids only, ``keep_id`` is null and all are kept.
     Rows that share the smallest id are all kept. An empty table gives an
-    empty one.
+    empty one. ``options`` are those of ``Index``.
     """
-    pages = build_index(docs, id_col, text_col, capacity, max_depth)
-    found = keyed(docs, id_col, text_col).join(pages.drop("bucket"), ["h", "text_sha256"])
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    index = Index(docs, id_col, text_col, **options)
+    found = index.place(index.probes).join(index.pages, ["bucket", "h", "digest"])
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
