@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +29,7 @@ def features(word: str) -> list[int]:
 class WordTable:
     """The distinct words of some documents with their features, flattened."""
 
-    def __init__(self, docs: list[list[str]]):
+    def __init__(self, docs: list[list[str]], features: Callable[[str], list[int]] = features):
         at: dict[str, int] = {}
         self.docs = [np.array([at.setdefault(w, len(at)) for w in d], dtype=np.int64) for d in docs]
         flat, count = array("i"), array("q")
@@ -55,11 +56,16 @@ def held_out(id_col: str = "doc_id"):
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` documents of each class.
 
-    Only labelled rows that are not held out count, in the order of a hash of
-    their ids. Rows with a null id, text or label are left out; of an id
-    labelled both ways the larger label is taken.
+    Only labelled rows that are not held out and have a text of up to ``chars``
+    characters count, in the order of a hash of their ids; a class has fewer
+    than ``rows`` only if there are no more of them. Rows with a null id, text
+    or label are left out; of an id labelled both ways the larger label is
+    taken, of an id with several texts the least. The id may be of any type
+    that labels and documents share.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    text = id_text(docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)))
+    known = known.join(text.select("doc_id"), "doc_id", "left_semi")
     pick = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -67,8 +73,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     chosen = [(r["doc_id"], r["y"]) for r in pick.collect()]  # at most 2 * rows pairs
     if not chosen:
         return [], np.zeros(0)
-    small = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int")
-    text = id_text(docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)))
+    small = docs.sparkSession.createDataFrame(chosen, f"doc_id {dict(known.dtypes)['doc_id']}, y int")
     found = text.join(F.broadcast(small), "doc_id").select("doc_id", "text", "y").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    found = found.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
     return found["text"].tolist(), found["y"].to_numpy(dtype=np.float64)

@@ -10,8 +10,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, components, embedding_dedup, exact_dedup, line_dedup, packing, pii, quality, simhash, suffix_dedup, toxicity
+from lodestone.llm import bpe, components, embedding_dedup, exact_dedup, line_dedup, packing, pii, quality, simhash, subwords, suffix_dedup, toxicity
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.suffix_sort import equal_prefixes, suffix_order
 
@@ -150,16 +151,32 @@ def test_line_dedup_keeps_the_first_of_equal_lines_and_finds_windows(spark):
     assert len(long) == len(set(long))
 
 
-def test_exact_dedup(spark):
-    found = exact_dedup.exact_duplicates(frame(spark), capacity=1, max_depth=4).collect()
-    norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for i, t in ODD]
+@pytest.mark.parametrize("options", [{}, {"capacity": 1, "max_depth": 4}, {"capacity": 1, "hot_share": 1.0}, {"hash_of": lambda c: F.shiftleft(F.length(c).cast("long"), 60)}, {"hash_of": lambda c: F.lit(-7).cast("long"), "hot_share": 1.0}])
+def test_exact_dedup(spark, options):
+    """Also with texts of equal hash in one chain, and with all rows under one."""
+    rows = ODD + [(100 + k, f"text {k % 40}\v{'x' * (k % 7)}") for k in range(150)]
+    found = exact_dedup.exact_duplicates(frame(spark, rows), **options).collect()
+    norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for i, t in rows]
     want = []
     for i, t in norm:
         ids = [j for j, u in norm if u == t]
         keep = min((j for j in ids if j is not None), default=None)
         want.append((i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()))
     assert key(tuple(r) for r in found) == key(want)
-    assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
+    assert exact_dedup.exact_duplicates(frame(spark, []), **options).count() == 0
+
+
+def test_exact_dedup_keeps_a_chain_in_the_bucket_that_owns_it(spark):
+    rows = [(k, f"text {k % 60}") for k in range(240)]
+    index = exact_dedup.Index(frame(spark, rows), capacity=4, hash_of=lambda c: F.xxhash64(F.substring(c, 1, 6)))
+    pages = index.pages.collect()
+    assert len(pages) == 60 and all(p.group_size == 4 for p in pages)
+    chains = {}
+    for p in pages:
+        chains.setdefault(p.h, set()).add(p.bucket)
+    assert len(chains) == 10 and all(len(b) == 1 for b in chains.values()) and len({p.bucket for p in pages}) > 1
+    placed = {r.h: r.bucket for r in index.place(index.probes).collect()}
+    assert all(chains[h] == {b} for h, b in placed.items())
 
 
 def test_directory_splits_only_what_is_full():
@@ -383,3 +400,48 @@ def test_classifiers(spark):
     assert quality.fit(frame(spark), labels).constant is not None and toxicity.fit(frame(spark), labels.limit(0)).constant == 0.0
     assert toxicity.score(frame(spark, []), t).count() == 0 == quality.score(frame(spark, []), q).count()
     assert toxicity.reject_toxic(frame(spark), t).count() == len(ODD)
+
+
+def test_toxicity_score_is_a_noisy_or_of_logistic_sentences():
+    texts, toxic, _ = synthetic(300)
+    model = toxicity.train(texts, toxic)
+    of = model.scorer()
+    for text in [*texts[:40], "awful awful scoundrel. x\ny! z?", "", "...", "é " * 20_000]:
+        clean, whole = [], 1.0
+        for sentence in re.split(r"(?<=[.!?])(?= )|\n", text.lower()):
+            words = {w.strip(toxicity._TRIM) for w in sentence.split(" ")} - {""}
+            if words:
+                z = model.bias + sum(float(model.weights[k]) for w in words for k in toxicity.features(w))
+                clean.append(1 / (1 + math.exp(-z)))
+                whole *= 1 - clean[-1]
+        got, sentences = of(text)
+        assert got == pytest.approx(1 - whole if clean else 0, abs=1e-9) and sentences.tolist() == pytest.approx(clean, abs=1e-9)
+
+
+def test_quality_score_is_a_softmax_of_mean_word_vectors():
+    texts, _, good = synthetic(200)
+    model = quality.train(texts, good)
+    of = model.scorer()
+    for text in [*texts[:20], "", "a a a b"]:
+        words = quality.words(text)
+        mean = sum(float(np.mean([model.weights[k] for k in subwords.features(w)])) for w in words) / max(len(words), 1)
+        assert of(text) == pytest.approx(1 / (1 + math.exp(-mean - model.bias)), abs=1e-6)
+
+
+def test_held_out_rows_never_reach_a_fit(spark):
+    texts, toxic, good = synthetic(200)
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    labels = [(k, int(toxic[k]), int(good[k])) for k in range(200)]
+    seen = []
+    for flip in (False, True):
+        docs = spark.createDataFrame([(k, "other words" if flip and held(k) else t) for k, t in enumerate(texts)], "doc_id long, text string")
+        table = spark.createDataFrame([(k, 1 - a if flip and held(k) else a, 1 - b if flip and held(k) else b) for k, a, b in labels], "doc_id long, toxic int, quality int")
+        seen.append([subwords.training_sample(docs, table, name, rows=30) for name in ("toxic", "quality")])
+    for one, other in zip(*seen):
+        assert one[0] == other[0] and one[1].tolist() == other[1].tolist() and len(one[0]) == 60
+        assert not {t for k, t in enumerate(texts) if held(k)} & set(one[0])
+    # Text ids, and texts over the bound are replaced by others.
+    docs = spark.createDataFrame([(f"d{k}", t * (50 if k % 2 else 1)) for k, t in enumerate(texts)], "doc_id string, text string")
+    table = spark.createDataFrame([(f"d{k}", a) for k, a, _ in labels], "doc_id string, toxic int")
+    found, y = subwords.training_sample(docs, table, "toxic", rows=10, chars=600)
+    assert y.tolist().count(1) == y.tolist().count(0) == 10 and max(map(len, found)) <= 600
