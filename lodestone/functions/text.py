@@ -90,7 +90,11 @@ def eval_norm(fact: Column, kind: Column) -> Column:
     return F.when(kind == "phone", F.right(F.regexp_replace(fact, "(?U)\\D", ""), F.lit(9))).otherwise(F.lower(strip(collapse(fact))))
 
 
+def eval_hay(text: Column, kind: Column) -> Column:
+    """A text in the normal form of ``kind``."""
+    return F.when(kind == "phone", F.regexp_replace(text, "(?U)\\D", "")).otherwise(F.lower(collapse(text)))
+
+
 def eval_contains(text: Column, fact: Column, kind: Column) -> Column:
     """Does the text hold the fact, both in the same normal form?"""
-    hay = F.when(kind == "phone", F.regexp_replace(text, "(?U)\\D", "")).otherwise(F.lower(collapse(text)))
-    return F.contains(hay, eval_norm(fact, kind))
+    return F.contains(eval_hay(text, kind), eval_norm(fact, kind))

@@ -1,4 +1,7 @@
-"""Chunking (C1 to C6, W9) as folds over arrays, without Python functions."""
+"""Chunking (C1 to C6, W9) as folds over arrays, without Python functions.
+
+The folds run over word counts, which are taken once, and yield where packs
+start; texts are put together afterwards."""
 
 from __future__ import annotations
 
@@ -26,22 +29,51 @@ def tail(text: Column, n: int = OVERLAP_WORDS) -> Column:
     return F.when(F.size(w) > n, F.array_join(F.slice(w, -n, n), " ")).otherwise(text)
 
 
-def split_block(block: Column, limit: int = MAX_CHUNK_WORDS) -> Column:
-    """A long block that is no table as packs of whole sentences."""
-    # The cut is marked, as a split pattern may not look back over white space of any length.
-    sentences = F.split(F.regexp_replace(block, "(?U)(?<=[.!?])\\s+(?=[A-Z0-9])", "\u0001"), "\u0001")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def step(s: Column, x: Column) -> Column:
-        n, flush = word_count(x), (s["n"] + word_count(x) > limit) & (F.size(s["cur"]) > 0)
+def _starts(sizes: Column, limit: int, overlap: int) -> Column:
+    """Where packs start (from 0) if items are packed in order: an item that
+    would exceed ``limit`` starts a pack, which begins with up to ``overlap``
+    words of the item before it."""
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("words"), F.lit(0).alias("at"), F.lit(0).alias("last"))
+
+    def step(s: Column, n: Column) -> Column:
+        flush = (s["at"] > 0) & (s["words"] + n > limit)
         return F.struct(
-            F.when(flush, F.concat(s["done"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["done"]).alias("done"),
-            F.when(flush, F.array(x)).otherwise(F.concat(s["cur"], F.array(x))).alias("cur"),
-            F.when(flush, n).otherwise(s["n"] + n).alias("n"),
+            F.when(flush, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
+            (F.when(flush, F.least(s["last"], F.lit(overlap))).otherwise(s["words"]) + n).alias("words"),
+            (s["at"] + 1).alias("at"),
+            n.alias("last"),
         )
 
-    end = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["done"])
-    packed = F.aggregate(sentences, start, step, end)
+    return F.aggregate(sizes, start, step, lambda s: s["starts"])
+
+
+def _packs(items: Column, separator: str, limit: int, overlap: int) -> Column:
+    """Texts of the packs of ``items``, an array of ``text, n``."""
+    starts = _starts(F.transform(items, lambda x: x["n"]), limit, overlap)
+
+    def pack(s: Column, first: Column, k: Column) -> Column:
+        size = F.coalesce(F.get(s["starts"], k + 1), F.size(s["items"])) - first
+        own = F.transform(F.slice(s["items"], first + 1, size), lambda x: x["text"])
+        before = F.when(first > 0, F.array(tail(F.get(s["items"], first - 1)["text"], overlap))).otherwise(F.array().cast("array<string>")) if overlap else F.array().cast("array<string>")
+        return F.array_join(F.concat(before, own), separator)
+
+    return _let(F.struct(items.alias("items"), starts.alias("starts")), lambda s: F.transform(s["starts"], lambda first, k: pack(s, first, k)))
+
+
+def _sized(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(t.alias("text"), word_count(t).alias("n")))
+
+
+def split_block(block: Column, limit: int = MAX_CHUNK_WORDS) -> Column:
+    """A long block that is no table as packs of whole sentences."""
+    # The cut is marked, as a split pattern may not look back over white space of any length.
+    sentences = F.split(F.regexp_replace(block, "(?U)(?<=[.!?])\\s+(?=[A-Z0-9])", "\u0001"), "\u0001")
+    packed = _let(_sized(sentences), lambda items: _packs(items, " ", limit, 0))
     return F.when((word_count(block) <= limit) | is_table(block), F.array(block)).otherwise(packed)
 
 
@@ -49,20 +81,8 @@ def split_oversized(text: Column, limit: int = MAX_CHUNK_WORDS, overlap: int = O
     """A section as packs of blocks; each pack starts with the tail of the
     block before it, and takes the block that overflowed whatever its size."""
     blocks = F.flatten(F.transform(F.split(text, "\n\n"), lambda b: split_block(b, limit)))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = word_count(x)
-        flush = (s["n"] + n > limit) & (F.size(s["cur"]) > 0)
-        carry = tail(F.element_at(s["cur"], -1), overlap)
-        return F.struct(
-            F.when(flush, F.concat(s["done"], F.array(F.array_join(s["cur"], "\n\n")))).otherwise(s["done"]).alias("done"),
-            F.when(flush, F.array(carry, x)).otherwise(F.concat(s["cur"], F.array(x))).alias("cur"),
-            F.when(flush, word_count(carry) + n).otherwise(s["n"] + n).alias("n"),
-        )
-
-    end = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(F.array_join(s["cur"], "\n\n")))).otherwise(s["done"])
-    return F.when(word_count(text) <= limit, F.array(text)).otherwise(F.aggregate(blocks, start, step, end))
+    packed = _let(_sized(blocks), lambda items: _packs(items, "\n\n", limit, overlap))
+    return F.when(word_count(text) <= limit, F.array(text)).otherwise(packed)
 
 
 def chunk_column(text: Column, limit: int = MAX_CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import TOP_K
-from lodestone.functions.text import eval_contains, token_estimate
+from lodestone.functions.text import eval_hay, eval_norm, token_estimate
+from lodestone.operators.retrieval import MAX_QUERIES
 
 
 def gold_ranks(gold: DataFrame, ranking: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """Per ``gold(q, fact, kind)`` the first rank, by each method, of
-    a chunk that holds the fact, and whether it is among the best ``k``."""
-    holds = gold.join(ranking, "q").join(chunks.select("id", "text"), "id").where(eval_contains(F.col("text"), F.col("fact"), F.col("kind")))
-    first = holds.groupBy("q").agg(*(F.min(r).alias(n) for r, n in (("rank", "rank_fused"), ("rank_dense", "rank_dense"), ("rank_bm25", "rank_bm25"))))
+    a chunk that holds the fact, and whether it is among the best ``k``.
+
+    Texts are normalised once each; facts are compared with all of them, from a
+    broadcast copy while they are few.
+    """
+    forms = gold.select("q", "kind", eval_norm(F.col("fact"), F.col("kind")).alias("form"))
+    forms = F.broadcast(forms) if gold.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else forms
+    hay = chunks.select("id", eval_hay(F.col("text"), F.lit("phone")).alias("phone"), eval_hay(F.col("text"), F.lit("text")).alias("words"))
+    holds = hay.join(forms, F.contains(F.when(F.col("kind") == "phone", F.col("phone")).otherwise(F.col("words")), F.col("form"))).select("q", "id")
+    first = ranking.join(holds, ["q", "id"]).groupBy("q").agg(*(F.min(r).alias(n) for r, n in (("rank", "rank_fused"), ("rank_dense", "rank_dense"), ("rank_bm25", "rank_bm25"))))
     return gold.join(first, "q", "left").withColumn("hit", F.coalesce(F.col("rank_fused") <= k, F.lit(False)))
 
 

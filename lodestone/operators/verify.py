@@ -9,12 +9,8 @@ review_by``. Warnings are ``array<struct<code, text>>``.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestone.config import COPIED_LINE, COPIED_SHARE, LIVE, PARTNER, RETIRED, REVIEW_NOTICE_DAYS, WEAK_SCORE
 from lodestone.functions.facts import describe, unverified
@@ -39,25 +35,34 @@ WARNINGS = {
 }
 
 
-@F.pandas_udf(StringType())
-def repair_tags(answer: pd.Series, n_sources: pd.Series) -> pd.Series:
-    """V1: mangled tags become ``[S#]`` if there is such a source and go
-    otherwise; capital pseudo-tags go. What replaces a tag depends on the tag,
-    which SQL's replacement cannot express."""
+def pieces(text: Column, pattern: str, opener: str) -> Column:
+    """The text cut into what ``pattern`` matches, all of which begins with the
+    character ``opener``, and what lies between; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?Us){pattern}|[^{opener}]+|{opener}"), F.lit(0))
+
 
-    def one(text: str, n: int) -> str:
-        def put(m: re.Match) -> str:
-            inner = m[1].strip()
-            if re.fullmatch(r"S\d+", inner):
-                return f"[{inner}]"
-            if d := re.fullmatch(r"(?:S[A-Z]|source|src)\s*(\d+)", inner, re.IGNORECASE):
-                # Tags are compared as text: a leading zero names no source.
-                return f"[S{d[1]}]" if d[1].isascii() and str(int(d[1])) == d[1] and 1 <= int(d[1]) <= n else ""
-            return "" if re.fullmatch(r"[A-Z][A-Z ]{2,}", m[1]) else m[0]
+#: Bracketed groups, by what is inside (fixed: the forms that drafts are known to mangle).
+BRACKETS, TAG, LOOSE_TAG, SHOUT = "\\[[^\\]\\n]{1,40}\\]", "\\s*S\\d+\\s*", "\\s*(?:S[A-Z]|source|src)\\s*(\\d+)\\s*", "[A-Z][A-Z ]{2,}"
 
-        return re.sub(r"\[([^\]\n]{1,40})\]", put, text)
 
-    return pd.Series([None if a is None else one(a, int(n or 0)) for a, n in zip(answer, n_sources)], index=answer.index)
+def repair_tags(answer: Column, n_sources: Column) -> Column:
+    """V1: mangled tags become ``[S#]`` if there is such a source and go
+    otherwise; capital pseudo-tags go. Tags are compared as text: a leading zero
+    names no source."""
+    known = tags(n_sources)
+
+    def repaired(piece: Column) -> Column:
+        is_ = lambda inside, flags="(?U)": piece.rlike(f"{flags}\\A\\[(?:{inside})\\]\\z")
+        tag = F.concat(F.lit("S"), F.regexp_extract(piece, f"(?Ui)\\A\\[{LOOSE_TAG}\\]\\z", 1))
+        return (
+            F.when(~piece.rlike(f"(?U)\\A{BRACKETS}\\z"), piece)
+            .when(is_(TAG), F.concat(F.lit("["), F.regexp_extract(piece, "(?U)S\\d+", 0), F.lit("]")))
+            .when(is_(LOOSE_TAG, "(?Ui)"), F.when(F.array_contains(known, tag), F.concat(F.lit("["), tag, F.lit("]"))).otherwise(""))
+            .when(is_(SHOUT, ""), "")
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(pieces(answer, BRACKETS, "\\["), repaired), "")
 
 
 def cited(answer: Column) -> Column:
@@ -77,56 +82,49 @@ def strip_tags(answer: Column, gone: Column) -> Column:
     return F.when(F.size(gone) > 0, F.regexp_replace(text, "\\[([^\\]]*?)[,;]\\s*\\]", "[$1]")).otherwise(answer)
 
 
+STANDING = {
+    "superseded": "no longer valid, replaced by newer official material",
+    PARTNER: "valid, handed over by a partner and ahead of the website",
+    LIVE: "valid, on the website now",
+    RETIRED: "unconfirmed, from the website that was switched off",
+}
+
+
 def render(results: Column) -> Column:
-    """Numbered source blocks with their standing and origin."""
+    """Numbered source blocks: title and section, standing, where the text
+    comes from (the citation before the address), the text."""
+    given = lambda c: F.nullif(c, F.lit(""))
 
     def block(r: Column, i: Column) -> Column:
-        has = lambda c: F.coalesce(c, F.lit("")) != ""
-        standing = (
-            F.when(F.lower(F.coalesce(r["status"], F.lit(""))) == "superseded", "SUPERSEDED - newer official material replaces this; do not present it as current")
-            .when(r["source"] == PARTNER, "CURRENT - given directly to this organisation; newer than the website")
-            .when(r["source"] == LIVE, "CURRENT (live site)")
-            .otherwise("FROM THE RETIRED SITE - may be out of date")
-        )
-        heading = F.when(has(r["section"]), F.concat(F.lit(" > "), r["section"])).otherwise("")
-        url = F.coalesce(r["url"], F.lit(""))
-        origin = F.when(has(r["citation"]), F.concat(F.lit("Recorded in: "), r["citation"], F.lit("\nCross-check (may not yet reflect this): "), url)).otherwise(F.concat(F.lit("URL: "), url))
-        return F.concat(F.lit("[S"), (i + 1).cast("string"), F.lit("] "), r["title"], heading, F.lit("\nStatus: "), standing, F.lit("\n"), origin, F.lit("\n---\n"), r["text"])
+        role = F.when(F.lower(r["status"]) == "superseded", "superseded").when(r["source"].isin(PARTNER, LIVE), r["source"]).otherwise(RETIRED)
+        standing = F.element_at(F.create_map(*(F.lit(x) for kv in STANDING.items() for x in kv)), role)
+        place = F.coalesce(r["url"], F.lit(""))
+        origin = F.coalesce(F.concat(F.lit("From "), given(r["citation"]), F.lit("; compare "), place), F.concat(F.lit("At "), place))
+        head = F.format_string("[S%d] %s", i + 1, F.concat_ws(" > ", r["title"], given(r["section"])))
+        return F.concat_ws("\n", head, F.concat(F.lit("Standing: "), standing), origin, F.lit(""), r["text"])
 
     return F.array_join(F.transform(results, block), "\n\n")
 
 
-@F.pandas_udf(StructType([StructField("answer", StringType()), StructField("bad", ArrayType(StringType()))]))
-def check_links(answer: pd.Series, rendered: pd.Series) -> pd.DataFrame:
-    """Links and bare addresses that the sources lack go; the label
-    of a link and the punctuation after an address stay. Any beginning of a
-    known address is known."""
-
-    def one(text: str, known: str) -> tuple[str, list[str]]:
-        bad: list[str] = []
-
-        def ok(url: str) -> bool:
-            return url.rstrip("/") in known
+MARKDOWN_LINK, BARE_LINK = "\\[[^\\]]+\\]\\(https?://[^)\\s]+\\)", "https?://[^\\s)\\]>\"']+"
 
-        def link(m: re.Match) -> str:
-            if ok(m[2]):
-                return m[0]
-            bad.append(m[2])
-            return m[1]
 
-        def bare(m: re.Match) -> str:
-            url = m[0].rstrip(".,;:!?")
-            if ok(url):
-                return m[0]
-            bad.append(url)
-            return m[0][len(url) :]
+def check_links(answer: Column, rendered: Column) -> Column:
+    """``struct<answer, bad>``. Links and bare addresses that the
+    sources lack go; the label of a link and the punctuation after an address
+    stay. Any beginning of a known address is known."""
 
-        text = re.sub(r"\[([^\]]+)\]\((https?://[^)\s]+)\)", link, text)
-        text = re.sub(r"https?://[^\s)\]>\"']+", bare, text)
-        return text, sorted(set(bad))
+    def swept(text: Column, pattern: str, opener: str, address, left) -> tuple[Column, Column]:
+        """``text`` with ``left`` of each match whose ``address`` is unknown, and
+        these addresses."""
+        found = pieces(text, pattern, opener)
+        unknown = lambda p: p.rlike(f"(?Us)\\A{pattern}\\z") & ~F.contains(rendered, F.regexp_replace(address(p), "/+\\z", ""))
+        return F.array_join(F.transform(found, lambda p: F.when(unknown(p), left(p)).otherwise(p)), ""), F.transform(F.filter(found, unknown), address)
 
-    done = [one(a or "", r or "") for a, r in zip(answer, rendered)]
-    return pd.DataFrame({"answer": [d[0] for d in done], "bad": [d[1] for d in done]}, index=answer.index)
+    text, links = swept(answer, MARKDOWN_LINK, "\\[", lambda p: F.regexp_extract(p, "\\]\\((.*)\\)\\z", 1), lambda p: F.regexp_extract(p, "(?s)\\A\\[([^\\]]+)\\]", 1))
+    trimmed = lambda p: F.regexp_replace(p, "[.,;:!?]+\\z", "")
+    text, bare = swept(text, BARE_LINK, "h", trimmed, lambda p: F.regexp_extract(p, "[.,;:!?]*\\z", 0))
+    return F.struct(text.alias("answer"), F.array_sort(F.array_distinct(F.concat(links, bare))).alias("bad"))
 
 
 def tidy_headings(answer: Column) -> Column:

@@ -28,7 +28,7 @@ chunks as (
              case {NUMBER} when 0 then 'live' when 1 then 'retired' else 'partner' end as source
       from documents d left join labels l on d.doc_id = l.doc_id)))"""
 
-INDEXED = "indexed as (select c.*, cast(e.embedding as double[]) as vector from chunks c join embeddings e on c.id = e.vec_id)"
+INDEXED = "indexed as (select c.*, cast(e.embedding as double[]) as vector from chunks c left join embeddings e on c.id = e.vec_id)"
 QUESTIONS = "questions as (select b.item_id as q, b.text, cast(e.embedding as double[]) as vector from benchmark b join embeddings e on b.item_id = e.vec_id)"
 
 
@@ -58,7 +58,7 @@ cover as (
   from questions q left join asked a on a.q = q.q left join idf i on i.term = a.term group by q.q),
 placed as (
   select p.*, case when coverage is null then 0.5 else 1 - (0.5 + 0.5 * (1 - coverage)) end as w,
-         row_number() over (partition by p.q order by raw desc, id) as rank_dense,
+         row_number() over (partition by p.q order by raw desc nulls last, id) as rank_dense,
          row_number() over (partition by p.q order by bm25 desc, id) as rank_bm25
   from pairs p join cover on p.q = cover.q),
 fused as (select *, (1 - w) / (60 + rank_dense) + w / (60 + rank_bm25) as fused from placed),

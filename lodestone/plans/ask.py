@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import MIN_SCORE, SHORT_QUESTION, TOP_K, WEAK_SCORE
 from lodestone.functions.text import collapse, compact_length, last_entries, script, strip
-from lodestone.operators.retrieval import hybrid, top_k
+from lodestone.operators.retrieval import hybrid_scores, top_k
 from lodestone.operators.verify import REFUSAL, verify
 
 SCRIPT_LANGUAGE = {"latin": "en", "myanmar": "my", "cjk": "zh"}
@@ -85,7 +85,7 @@ def needs_retry(answer: Column, wanted: Column) -> Column:
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, choice: str | None = None) -> DataFrame:
     """``questions`` with ``results`` (an array in tag order) and ``top_raw``."""
-    best = top_k(hybrid(chunks, questions), chunks, k, choice).join(chunks.drop("source", "vector", "weight"), "id")
+    best = top_k(hybrid_scores(chunks, questions), chunks, k, choice).join(chunks.drop("source", "vector", "weight"), "id")
     found = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("position", "id", "title", "section", "url", "source", "status", "text", "doc_path", "score", "raw", "citation", "source_document", "review_by"))).alias("results"))
     joined = questions.join(found, "q", "left")
     return joined.withColumn("results", F.coalesce("results", F.array().cast(dict(found.dtypes)["results"]))).withColumn("top_raw", F.coalesce(F.array_max(F.transform("results", lambda r: r["raw"])), F.lit(0.0)))

@@ -18,6 +18,7 @@ from lodestone.functions import facts, markup
 from lodestone.functions import text as tx
 from lodestone.operators import chunking, corpus, diff, evaluate, retrieval, verify
 from lodestone.plans import ask as ask_plan
+from lodestone.sources.scratch import spread, stored
 
 TODAY = "2026-08-10"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +47,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _indexed(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return _chunks(spark, sf).join(vectors, "id")
+    return _chunks(spark, sf).join(vectors, "id", "left")
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,14 +216,14 @@ def bm25_idf(spark, sf):
 @query
 def bm25_topk(spark, sf):
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
-    r = retrieval.ranked(retrieval.bm25(_chunks(spark, sf), asked), {"bm25": "rank"})
-    return r.where(F.col("rank") <= 8).select("q", "id", "rank", F.round("bm25", 5).alias("bm25"))
+    r = retrieval.best(retrieval.bm25(_chunks(spark, sf), asked), "bm25", 8)
+    return r.select("q", "id", "rank", F.round("bm25", 5).alias("bm25"))
 
 
 @query
 def dense_topk(spark, sf):
-    r = retrieval.ranked(retrieval.dense(_indexed(spark, sf), _questions(spark, sf)), {"raw": "rank"})
-    return r.where(F.col("rank") <= 8).select("q", "id", "rank", F.round("raw", 6).alias("raw"))
+    r = retrieval.best(retrieval.dense(_indexed(spark, sf), _questions(spark, sf)), "raw", 8)
+    return r.select("q", "id", "rank", F.round("raw", 6).alias("raw"))
 
 
 @query
@@ -230,13 +232,17 @@ def vocab_coverage(spark, sf):
     return c.select("q", F.round("coverage", 8).alias("coverage"), F.round("w_sparse", 8).alias("w_sparse"))
 
 
+def _scores(spark, sf):
+    return retrieval.hybrid_scores(_indexed(spark, sf), _questions(spark, sf))
+
+
 def _ranking(spark, sf):
     return retrieval.hybrid(_indexed(spark, sf), _questions(spark, sf))
 
 
 @query
 def rrf_fusion(spark, sf):
-    return _ranking(spark, sf).select("q", "id", "rank_dense", "rank_bm25", F.round("fused", 8).alias("fused"))
+    return _scores(spark, sf).select("q", "id", "rank_dense", "rank_bm25", F.round("fused", 8).alias("fused"))
 
 
 @query
@@ -245,7 +251,7 @@ def minmax_score(spark, sf):
 
 
 def _top(spark, sf, choice=None):
-    return retrieval.top_k(_ranking(spark, sf), _indexed(spark, sf), choice=choice).select("q", "id", "position", "rank", "source", "score", "raw")
+    return retrieval.top_k(_scores(spark, sf), _chunks(spark, sf), choice=choice).select("q", "id", "position", "rank", "source", "score", "raw")
 
 
 @query
@@ -271,9 +277,9 @@ def refusal_gate(spark, sf):
 # --- evaluation -----------------------------------------------------------
 
 
-def _cases(spark, sf):
+def _cases(spark, sf, ranking=None):
     gold = _table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("fact"), F.lit("text").alias("kind"))
-    return evaluate.gold_ranks(gold, _ranking(spark, sf), _indexed(spark, sf))
+    return evaluate.gold_ranks(gold, _ranking(spark, sf) if ranking is None else ranking, _chunks(spark, sf))
 
 
 @query
@@ -284,15 +290,17 @@ def gold_rank(spark, sf):
 
 @query
 def recall_at_k(spark, sf):
-    shown = _top(spark, sf).select("q", "id").join(_indexed(spark, sf).select("id", "text"), "id")
-    s = evaluate.summary(_cases(spark, sf), evaluate.prompt_sizes(shown))
+    """One stored ranking gives the cases and the prompts."""
+    ranking = stored(_ranking(spark, sf), "ranking")
+    shown = ranking.where(F.col("rank") <= 8).select("q", "id").join(_chunks(spark, sf).select("id", "text"), "id")
+    s = evaluate.summary(_cases(spark, sf, ranking), evaluate.prompt_sizes(shown))
     return s.withColumn("recall_at_k", F.round("recall_at_k", 8))
 
 
 @query
 def eval_regressions(spark, sf):
     """Against a run in which every question was found at rank 4."""
-    now = _cases(spark, sf)
+    now = stored(_cases(spark, sf), "cases")
     was = now.select("q", F.lit(True).alias("hit"), F.lit(4).alias("rank_fused"))
     return evaluate.regressions(now, was).withColumn("rank_fused", F.coalesce("rank_fused", F.lit(0)))
 
@@ -418,7 +426,7 @@ def _drafts(spark, sf):
     ones, an unknown address, and what the item says."""
     found = ask_plan.retrieve(_evidence(spark, sf), _questions(spark, sf))
     draft = F.concat(F.lit("### [S1]\nPlease register [S1, S9] here: https://nowhere.example/x. [SD2] [REMEMBER] "), F.col("text"))
-    return found.select(F.col("q").alias("answer_id"), draft.alias("answer"), F.col("text").alias("question"), "top_raw", F.lit(False).alias("lang_drift"), "results")
+    return stored(found.select(F.col("q").alias("answer_id"), draft.alias("answer"), F.col("text").alias("question"), "top_raw", F.lit(False).alias("lang_drift"), "results"), "drafts")
 
 
 def _evidence(spark, sf):
@@ -433,7 +441,7 @@ def cited_tags(spark, sf):
 
 @query
 def repair_tags(spark, sf):
-    return _drafts(spark, sf).select("answer_id", verify.repair_tags("answer", F.size("results")).alias("answer"))
+    return _drafts(spark, sf).select("answer_id", verify.repair_tags(F.col("answer"), F.size("results")).alias("answer"))
 
 
 @query
