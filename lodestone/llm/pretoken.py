@@ -23,6 +23,13 @@ _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
+#: The same for Arrow, whose patterns need ``\\A`` and ``\\z`` for the ends of a
+#: text. In lower-case texts the words that are not letters only; white space and
+#: these part the others.
+PLAIN_TEXT = r"\A[\t-\r -~À-ÖØ-öø-ÿ]*\z"
+PLAIN_LOWER_SIGNS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+)"
+
+
 def normalise(text: str) -> str:
     text = regex.sub(r"\p{White_Space}+", " ", unicodedata.normalize("NFC", text))
     return text.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
