@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import line_dedup, packing, pii, simhash, toxicity
-from lodestone.llm.common import load, stored
+from lodestone.llm.common import load, spread, stored
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,41 +11,20 @@ Rules that hold for all of them:
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import scratch_dir, spread, stored
+
+__all__ = ["id_text", "load", "merge_labels", "scratch_dir", "spread", "stored"]
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors share.
-
-    It lies under ``spark.checkpoint.dir``; where that is unset (local tests)
-    it lies under the warehouse, never in a machine's own temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the
-    whole history, and nothing depends on an executor's own disk.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{label}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, embedding_dedup, exact_dedup, line_dedup, packing, pii, quality, simhash, suffix_dedup, toxicity
-from lodestone.llm.common import load
+from lodestone.llm.common import load, spread
 
 
 def tokenizer_path() -> str:
@@ -19,12 +19,12 @@ def tokenizer_path() -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(spread(load(spark, sf_dir, "documents")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, and the digest of the text left."""
-    done = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup_lines(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -33,35 +33,35 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_duplicates(spread(load(spark, sf_dir, "embeddings")))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(load(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.encode_digests(spread(load(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(load(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.spans(load(spark, sf_dir, "documents"))
+    found = pii.spans(spread(load(spark, sf_dir, "documents")))
     return found.select("doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(spread(load(spark, sf_dir, "documents")), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
