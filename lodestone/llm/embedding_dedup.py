@@ -49,9 +49,10 @@ _log = logging.getLogger(__name__)
 
 def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of equal length, in double precision and of length one."""
-    raw = np.array(column.to_pylist(), dtype=np.float64)
-    if not len(raw):
-        return raw.reshape(0, 0)
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    raw = np.asarray(flat, dtype=np.float64).reshape(len(column), -1)
     raw = raw / np.abs(raw).max(axis=1, keepdims=True)
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
@@ -106,15 +107,27 @@ def _pairs(src, dst, sim) -> pa.RecordBatch:
 _PAIR = "src long, dst long, sim double"
 
 
+#: A hash of vectors that gives two different ones the same number is replaced
+#: by another; so many are tried (at a billion different vectors one in 40 fails).
+HASHES = 8
+
+
 def nodes_of(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """``rows(vec_id, node)`` for all rows, ``nodes(node, least_id, weight, dim, v)``."""
+    """``rows(vec_id, node)`` for all rows, ``nodes(node, least_id, weight, dim, v)``.
+
+    Equal vectors are one node; they are compared themselves, not their hash."""
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    rows = rows.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("v")).alias("node"), "v")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"), F.first("v").alias("v"))
-    return rows.select("vec_id", "node"), stored(nodes.withColumn("dim", F.size("v")), "nodes")
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    for seed in range(HASHES):
+        name = F.xxhash64("v", F.lit(seed)) if seed else F.xxhash64("v")
+        named = rows.select("vec_id", F.when(usable, name).alias("node"), "v")
+        nodes = named.where("node is not null").groupBy("node", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+        nodes = stored(nodes.select("node", "least_id", "weight", "v", F.size("v").alias("dim")), "nodes")
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            return named.select("vec_id", "node"), nodes
+    raise RuntimeError("too many different vectors for a 64-bit number each")
 
 
 def _orders(size: int) -> int:
