@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import id_text, stored
 
-MAX_DEPTH, BUCKET_ENTRIES, HOT_SHARE = 20, 4096, 0.001
+MAX_DEPTH, BUCKET_ENTRIES, HOT_SHARE = 18, 256, 0.001
 #: Fixed by the operator's definition of equal texts.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
