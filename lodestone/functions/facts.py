@@ -10,8 +10,7 @@ from lodestone.functions.text import digits, fold_digits, loose, strip
 # What counts as a fact.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS if m != "may")])
-W = "[\\p{L}\\p{N}_]"  # letters, digits and underscore, without combining marks
-EMAIL = f"(?U){W.replace(']', '.+-]')}+@{W.replace(']', '-]')}+\\.{W.replace(']', '.-]')}*{W}"
+EMAIL = "(?U)[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+\\.[\\p{L}\\p{N}_.-]*[\\p{L}\\p{N}_]"
 MONEY = "(?iU)(?:RM|MYR)\\s?\\d[\\d,]*(?:\\.\\d{1,2})?"
 DATE = (
     "(?iU)\\d{4}-\\d{2}-\\d{2}"

@@ -48,6 +48,7 @@ def link_bucket(href: Column, own_host: str) -> Column:
 
 def share_link(target: Column) -> Column:
     """P25: links for people turned into links to the file itself."""
+    # The address forms of three file hosts.
     rules = (
         ("^https://drive\\.google\\.com/file/d/([^/]+).*$", "https://drive.google.com/uc?export=download&id=$1"),
         ("^https://drive\\.google\\.com/open\\?id=([^&]+).*$", "https://drive.google.com/uc?export=download&id=$1"),
@@ -62,6 +63,7 @@ def share_link(target: Column) -> Column:
 
 def plain(markdown: Column) -> Column:
     """Markdown to text for drawing, line by line."""
+    # Which marks go, in this order, as later ones see what is left.
     rules = (
         ("^\\s{0,3}#{1,6}\\s*", ""),
         ("\\*\\*([^*]+)\\*\\*", "$1"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +67,14 @@ def doc_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def text_diff(old: DataFrame, new: DataFrame, lines: int = 40) -> DataFrame:
-    """The first ``lines`` of a unified diff of each edited document."""
-
-    @F.udf("string")
-    def unified(was: str, now: str) -> str:
-        import difflib
-        import itertools
+    """The first ``lines`` of a unified diff of each edited document. Only
+    documents whose digests differ reach the comparison, in Arrow batches."""
 
-        return "\n".join(itertools.islice(difflib.unified_diff(was.splitlines(), now.splitlines(), lineterm="", n=0), lines))
+    @F.arrow_udf("string")
+    def unified(was: pa.Array, now: pa.Array) -> pa.Array:
+        each = (difflib.unified_diff((a.as_py() or "").splitlines(), (b.as_py() or "").splitlines(), lineterm="", n=0) for a, b in zip(was, now))
+        return pa.array(["\n".join(itertools.islice(d, lines)) for d in each], pa.string())
 
-    both = old.withColumnRenamed("text", "was").join(new.withColumnRenamed("text", "now"), "doc_path").where("was <> now")
+    digest = lambda d, text: d.select("doc_path", F.col("text").alias(text), F.sha2("text", 256).alias(f"{text}_sha"))
+    both = digest(old, "was").join(digest(new, "now"), "doc_path").where("was_sha <> now_sha")
     return both.select("doc_path", unified("was", "now").alias("diff"))

@@ -17,6 +17,7 @@ from lodestone.config import MIN_SCORE, SHORT_QUESTION, TOP_K, WEAK_SCORE
 from lodestone.functions.text import collapse, compact_length, last_entries, script, strip
 from lodestone.operators.retrieval import hybrid_scores, top_k
 from lodestone.operators.verify import REFUSAL, verify
+from lodestone.sources.scratch import stored
 
 SCRIPT_LANGUAGE = {"latin": "en", "myanmar": "my", "cjk": "zh"}
 
@@ -28,7 +29,8 @@ class Embedder(Protocol):
 
 class Generator(Protocol):
     def __call__(self, prompts: DataFrame) -> DataFrame:
-        """``prompts(q, question, results, language)`` with a column ``answer``."""
+        """``prompts(q, question, results, language, directive)`` with a column
+        ``answer``; the directive is null but for a second try."""
 
 
 def extractive(prompts: DataFrame) -> DataFrame:
@@ -83,6 +85,21 @@ def needs_retry(answer: Column, wanted: Column) -> Column:
     return (got != wanted) & (got != "unknown") & (wanted != "unknown")
 
 
+def _one_retry(generate: Generator, prompts: DataFrame) -> DataFrame:
+    """Answers in another script than wanted are asked for once more, with a
+    directive; the second one counts if it is in the script, else the first one
+    with ``lang_drift``. Only drifting rows reach the generator again."""
+    first = stored(generate(prompts), "drafts")
+    drift = F.coalesce(needs_retry(F.col("answer"), F.col("language")), F.lit(False))
+    bad = first.where(drift)
+    if bad.isEmpty():
+        return first.withColumn("lang_drift", F.lit(False))
+    asked = bad.drop("answer").withColumn("directive", F.concat(F.lit("Write the whole reply in this script: "), "language"))
+    again = generate(asked).where(script(F.col("answer")) == F.col("language")).select("q", F.col("answer").alias("__again"))
+    both = first.join(again, "q", "left")
+    return both.withColumn("lang_drift", drift & F.col("__again").isNull()).withColumn("answer", F.coalesce("__again", "answer")).drop("__again")
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, choice: str | None = None) -> DataFrame:
     """``questions`` with ``results`` (an array in tag order) and ``top_raw``."""
     best = top_k(hybrid_scores(chunks, questions), chunks, k, choice).join(chunks.drop("source", "vector", "weight"), "id")
@@ -113,7 +130,7 @@ def ask(chunks: DataFrame, questions: DataFrame, today: str, *, embed: Embedder
     language, downgraded = reply_language(F.col("text"), can or list(SCRIPT_LANGUAGE.values()))
     state = state.withColumn("language", language).withColumn("downgraded", downgraded)
     open_, refused = state.where(F.col("top_raw") >= MIN_SCORE), state.where(F.col("top_raw") < MIN_SCORE)
-    drafted = generate(open_.withColumn("question", F.col("text"))).withColumn("lang_drift", needs_retry(F.col("answer"), F.col("language")))
+    drafted = _one_retry(generate, open_.withColumn("question", F.col("text")).withColumn("directive", F.lit(None).cast("string")))
     checked = verify(drafted.select(F.col("q").alias("answer_id"), "answer", "question", "top_raw", "lang_drift", "results"), today)
     done = checked.withColumnRenamed("answer_id", "q").withColumn("refused", F.lit(False))
     none = refused.select("q", F.lit(REFUSAL).alias("answer"), F.lit(True).alias("refused"))

@@ -20,13 +20,36 @@ PARTNER_MANIFEST = "records array<struct<file:string,title:string,url:string,rev
 STATE = "baseline map<string,struct<path:string,type:string,title:string,url:string,modified:string,published:string>>, captured string, pending struct<ids:array<string>,detected:string>, history array<string>"
 
 
+def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document as one row under a schema; what is broken is null.
+
+    Spark's readers pass over names that begin with ``_``, as the index's does;
+    such a file is read by the driver.
+    """
+    if not path.rstrip("/").rsplit("/", 1)[-1].startswith("_"):
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", schema).alias("d")).select("d.*")
+
+
+def site_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of a site's copy, one row."""
+    return document(spark, path, INDEX)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Corpus JSON lines under a fixed schema; blank lines are no rows."""
     return spark.read.schema(CHUNK).json(path)
 
 
 def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return texts.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 
@@ -49,7 +72,7 @@ def retired_docs(spark: SparkSession, folder: str, site: str) -> DataFrame:
 def live_docs(spark: SparkSession, index_path: str, folder: str) -> DataFrame:
     """Records whose file is there, taxonomy ids as names; an empty
     list of names becomes null, as it is left out of the corpus."""
-    index = spark.read.schema(INDEX).option("multiLine", True).json(index_path)
+    index = site_index(spark, index_path)
     records = index.select("taxonomy", F.explode("records").alias("r"))
     named = records.select("r.*", *(F.nullif(resolve_names(F.col(f"r.{t}"), F.col("taxonomy")[t]), F.array().cast("array<string>")).alias(f"{t}_names") for t in ("topics", "categories", "audiences")))
     files = _files(spark, folder, "*.md").withColumn("key", F.regexp_replace("file_path", "^.*?/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", ""))
@@ -60,7 +83,7 @@ def live_docs(spark: SparkSession, index_path: str, folder: str) -> DataFrame:
 
 def partner_docs(spark: SparkSession, manifest_path: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """Documents that the manifest lists, and those whose file is missing."""
-    manifest = spark.read.schema(PARTNER_MANIFEST).option("multiLine", True).json(manifest_path)
+    manifest = document(spark, manifest_path, PARTNER_MANIFEST)
     listed = manifest.select(F.explode("records").alias("r"), "provided_by", "received", "citation", "source_document")
     files = _files(spark, folder, "*").withColumn("key", F.element_at(F.split("file_path", "/"), -1))
     key = F.element_at(F.split(F.col("r.file"), "/"), -1)
@@ -70,19 +93,19 @@ def partner_docs(spark: SparkSession, manifest_path: str, folder: str) -> tuple[
 
 
 def supersession_rules(spark: SparkSession, manifest_path: str) -> DataFrame:
-    manifest = spark.read.schema(PARTNER_MANIFEST).option("multiLine", True).json(manifest_path)
+    manifest = document(spark, manifest_path, PARTNER_MANIFEST)
     return manifest.select(F.posexplode("supersedes").alias("ord", "s")).select("ord", "s.match", "s.reason")
 
 
 def gap_items(spark: SparkSession, path: str) -> DataFrame:
     """``(slug, status, pos)``."""
-    items = spark.read.schema("items array<struct<old_slug:string,status:string>>").option("multiLine", True).json(path)
+    items = document(spark, path, "items array<struct<old_slug:string,status:string>>")
     return items.select(F.posexplode("items").alias("pos", "i")).select(F.col("i.old_slug").alias("slug"), "i.status", "pos")
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
     """The refresh state; a broken file gives an empty one."""
-    read = spark.read.schema(STATE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    read = document(spark, path, STATE)
     return read.select(F.coalesce("baseline", F.create_map().cast("map<string,struct<path:string,type:string,title:string,url:string,modified:string,published:string>>")).alias("baseline"), "captured", "pending", F.coalesce("history", F.array().cast("array<string>")).alias("history"))
 
 
@@ -93,5 +116,29 @@ def seed_baseline(records: DataFrame) -> DataFrame:
 
 def eval_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Saved cases of an evaluation."""
-    cases = spark.read.schema("cases array<struct<q:string,fact:string,kind:string,hit:boolean,rank_fused:int,rank_dense:int,rank_bm25:int>>").option("multiLine", True).json(path)
+    cases = document(spark, path, "cases array<struct<q:string,fact:string,kind:string,hit:boolean,rank_fused:int,rank_dense:int,rank_bm25:int>>")
     return cases.select(F.explode("cases").alias("c")).select("c.*")
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the number of lines that are not blank."""
+    return spark.read.text(path).agg(F.count_if(F.col("value").rlike("(?U)\\S")).alias("lines"))
+
+
+def archive_stats(chunks: DataFrame) -> DataFrame:
+    """One row: passages in all and by source, and the documents of each source."""
+    each = chunks.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
+    counts = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", c))))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_passages"), counts("n").alias("by_source"), counts("titles").alias("documents_per_source"))
+
+
+def status(index: DataFrame, manifest: DataFrame, refresh_state: DataFrame, corpus_lines: DataFrame) -> DataFrame:
+    """One row about an archive from summaries of one row each, any of which
+    may be empty. The counted lines stand in where there is no manifest."""
+    documents = index.select(F.size("records").alias("documents"), F.size("media").alias("media"), F.col("captured").alias("index_captured"))
+    built = manifest.select("built", "total_chunks", F.col("chunks_by_source").alias("by_source"))
+    state_ = refresh_state.select(F.col("captured").alias("state_captured"), F.coalesce("pending.ids", F.array().cast("array<string>")).alias("pending_ids"), F.col("pending.detected").alias("pending_detected"), F.get("history", F.size("history") - 1).alias("last_applied"))
+    one = corpus_lines
+    for part in (documents, built, state_):
+        one = one.join(part.limit(1), F.lit(True), "left")
+    return one.select("documents", "media", F.coalesce("index_captured", "state_captured").alias("captured"), "built", F.coalesce("total_chunks", "lines").alias("chunks"), "by_source", "pending_ids", "pending_detected", "last_applied")

@@ -5,8 +5,13 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import re
+import shutil
 import tarfile
 import zipfile
+from collections.abc import Callable
+from pathlib import Path
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +51,69 @@ def check_sha256(data: bytes, wanted: str | None) -> None:
         raise Unsafe("the checksum differs")
 
 
+def download(url: str, target: Path, opener: Callable[[str], BinaryIO], wanted: str | None = None, limit: int = MAX_BYTES) -> str:
+    """``url`` block by block into ``target``; returns the SHA-256. Only
+    https, only up to ``limit`` bytes, only the wanted checksum; what fails
+    leaves no file. ``opener(url)`` is the transport."""
+    if not url.startswith("https://"):
+        raise Unsafe("only https is accepted")
+    seen, size = hashlib.sha256(), 0
+    try:
+        with opener(url) as source, open(target, "wb") as out:
+            while block := source.read(1 << 20):
+                size += len(block)
+                if size > limit:
+                    raise Unsafe("too large")
+                seen.update(block)
+                out.write(block)
+        if wanted and seen.hexdigest() != wanted.lower():
+            raise Unsafe("the checksum differs")
+        with open(target, "rb") as f:
+            sniff(f.read(512))
+    except BaseException:
+        target.unlink(missing_ok=True)
+        raise
+    return seen.hexdigest()
+
+
+def check_layout(names: list[str]) -> None:
+    """A bundle holds the archive that the readers know: an index of records, or
+    folders with an ``index.md`` each."""
+    if not any(re.search(r"(^|/)_index\.json$|/[^/]+/index\.md$", n) for n in names):
+        raise Unsafe("this is no archive: neither an index nor pages")
+
+
+def unpack_to(bundle: Path, folder: Path) -> list[str]:
+    """The members of a checked bundle, each copied to ``folder`` as a stream;
+    paths, links and expansion are checked before the first."""
+    size = max(1, bundle.stat().st_size)
+    with open(bundle, "rb") as f:
+        kind = sniff(f.read(512))
+    if kind == "zip":
+        with zipfile.ZipFile(bundle) as z:
+            found = [(i.filename, i.file_size, i) for i in z.infolist() if not i.is_dir()]
+            return _copy(found, size, z.open, folder)
+    with tarfile.open(bundle) as t:
+        members = t.getmembers()
+        if any(m.issym() or m.islnk() for m in members):
+            raise Unsafe("links are not accepted")
+        return _copy([(m.name, m.size, m) for m in members if m.isfile()], size, t.extractfile, folder)
+
+
+def _copy(found: list[tuple], size: int, open_: Callable, folder: Path) -> list[str]:
+    names = [name for name, _, _ in found]
+    check_members(names)
+    if sum(n for _, n, _ in found) > MAX_EXPANSION * size:
+        raise Unsafe("expands too much")
+    check_layout(names)
+    for name, _, member in found:
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with open_(member) as source, open(path, "wb") as out:
+            shutil.copyfileobj(source, out)
+    return names
+
+
 def unpack(data: bytes, wanted: str | None = None, https_url: str | None = None) -> dict[str, bytes]:
     """Members of a checked bundle: transport, size, kind, checksum, paths and
     expansion are checked first; links are never followed."""

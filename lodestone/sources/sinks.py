@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.corpus import bm25_text, currency_weight
+
 
 def write_corpus(chunks: DataFrame, path: str) -> None:
     """K1: JSON lines in corpus order; null fields are left out."""
@@ -14,13 +16,52 @@ def write_corpus(chunks: DataFrame, path: str) -> None:
 
 
 def write_one(row: DataFrame, path: str) -> None:
-    """K2, K8, K9: a one-row table as a JSON document."""
-    row.coalesce(1).write.mode("overwrite").json(path)
+    """K2, K8, K9: a one-row table as a JSON document in a file of that name."""
+    _write_text(row.sparkSession, path, row.select(F.to_json(F.struct("*")).alias("d")).first()["d"])
+
+
+INDEX_COLUMNS = ("chunk_id", "source", "title", "section_heading", "url", "status", "currency_note", "doc_path", "text", "citation", "source_document", "review_by")
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """The columns that retrieval needs beside the vector, and what can
+    be computed beforehand: the currency weight and the text that keywords are
+    looked up in. Columns that ``chunks`` lacks are null."""
+    have = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in INDEX_COLUMNS]
+    weight = currency_weight(F.col("source"), F.col("status")).alias("weight")
+    chunks.select(*have, F.col("vector").cast("array<float>").alias("vector")).select("*", weight, bm25_text(F.col("title"), F.col("section_heading"), F.col("text")).alias("search_text")).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index as retrieval takes it, keyed by ``id``: vectors, weights and
+    metadata are on one row, so nothing has to line up by position."""
+    return spark.read.parquet(path).withColumnRenamed("chunk_id", "id").withColumn("section", F.col("section_heading"))
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target, _ = _fs(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
 
+def write_pages(pages: DataFrame, folder: str) -> int:
+    """K4: ``pages(file, text, html)`` one by one under ``folder``; a page that is
+    an ``index.md`` has its markup beside it as ``page.html``.
 
-def write_index(chunks: DataFrame, path: str, keep: tuple[str, ...] = ("chunk_id", "source", "title", "section_heading", "url", "status", "currency_note", "doc_path", "text", "citation", "source_document", "review_by", "vector")) -> None:
-    """The columns that retrieval needs, beside the vector."""
-    chunks.select(*(c for c in keep if c in chunks.columns)).write.mode("overwrite").parquet(path)
+    They come from a crawl that waits seconds for each of them, so the driver
+    writes them; only one is held at a time.
+    """
+    spark, n = pages.sparkSession, 0
+    for row in pages.select("file", "text", "html").toLocalIterator():
+        path = f"{folder.rstrip('/')}/{row['file']}"
+        _write_text(spark, path, row["text"])
+        if path.endswith("/index.md"):
+            _write_text(spark, path.removesuffix("index.md") + "page.html", row["html"] or "")
+        n += 1
+    return n
 
 
 def _fs(spark: SparkSession, path: str):
