@@ -100,6 +100,62 @@ SNAPSHOT = """changes as (
   select coalesce(n.id, o.id) as id, coalesce(n.title, o.title) as title,
          case when o.id is null then 'added' when n.id is null then 'removed' when o.modified is distinct from n.modified then 'changed' end as change
   from was o full join later n on o.id = n.id)"""
+DRAFT = "'### [S1]' || chr(10) || 'Please register [S1, S9] here: https://nowhere.example/x. [SD2] [REMEMBER] ' || b.text"
+
+
+def _words(text: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''))"
+
+
+def _packs(name: str, items: str, overlap: int) -> str:
+    """CTEs that number the packs of ``items(doc_id, part_no, grp, k, t, n)``, one
+    item after another, as ``{name}(doc_id, part_no, grp, k, t, n, pack)``."""
+    return f"""
+{name}_at as (
+  select doc_id, part_no, grp, k, n, n as held, 0 as pack from {items} where k = 1
+  union all
+  select i.doc_id, i.part_no, i.grp, i.k, i.n,
+         case when a.held + i.n > 220 then least(a.n, {overlap}) + i.n else a.held + i.n end,
+         case when a.held + i.n > 220 then a.pack + 1 else a.pack end
+  from {name}_at a join {items} i on i.doc_id = a.doc_id and i.part_no = a.part_no and i.grp = a.grp and i.k = a.k + 1),
+{name} as (select i.*, a.pack from {items} i join {name}_at a using (doc_id, part_no, grp, k))"""
+
+
+#: CTEs ending in ``cut(doc_id, chunk_index, heading, text)``.
+CHUNKED = f"""
+cutup as (select doc_id, string_split(replace(text, chr(10) || '## ', chr(1) || '## '), chr(1)) as parts from documents),
+sections as (
+  select doc_id, part_no, regexp_replace(part, '^\\s+|\\s+$', '', 'g') as part
+  from (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as part_no from cutup)),
+blocks as (
+  select doc_id, part_no, bk, b, {_words("b")} as n from (
+    select doc_id, part_no, unnest(string_split(part, chr(10) || chr(10))) as b, generate_subscripts(string_split(part, chr(10) || chr(10)), 1) as bk
+    from sections where {_words("part")} > 220)),
+sentences as (
+  select doc_id, part_no, grp, k, t, {_words("t")} as n from (
+    select doc_id, part_no, bk as grp, unnest(marked) as t, generate_subscripts(marked, 1) as k
+    from (select *, string_split(regexp_replace(b, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as marked
+          from blocks where n > 220 and not regexp_matches(b, '^\\s*\\|')))),
+{_packs("said", "sentences", 0)},
+items as materialized (
+  select doc_id, part_no, 0 as grp, row_number() over (partition by doc_id, part_no order by bk, sub) as k, t, {_words("t")} as n from (
+    select doc_id, part_no, bk, 0 as sub, b as t from blocks where n <= 220 or regexp_matches(b, '^\\s*\\|')
+    union all
+    select doc_id, part_no, grp, pack, string_agg(t, ' ' order by k) from said group by doc_id, part_no, grp, pack)),
+{_packs("packed", "items", 30)},
+tails as (
+  select doc_id, part_no, pack + 1 as pack, case when len(w) > 30 then array_to_string(w[len(w) - 29 : len(w)], ' ') else t end as tail
+  from (select *, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') as w from packed
+        qualify row_number() over (partition by doc_id, part_no, pack order by k desc) = 1)),
+made as (
+  select doc_id, part_no, 0 as pack, part as text from sections where {_words("part")} <= 220
+  union all
+  select p.doc_id, p.part_no, p.pack, coalesce(any_value(tails.tail) || chr(10) || chr(10), '') || string_agg(p.t, chr(10) || chr(10) order by p.k)
+  from packed p left join tails on tails.doc_id = p.doc_id and tails.part_no = p.part_no and tails.pack = p.pack group by p.doc_id, p.part_no, p.pack),
+cut as (
+  select m.doc_id, row_number() over (partition by m.doc_id order by m.part_no, m.pack) - 1 as chunk_index,
+         nullif(regexp_extract(s.part, '^## (.+)', 1), '') as heading, m.text
+  from made m join sections s using (doc_id, part_no) where regexp_matches(m.text, '\\S'))"""
 LETTERS = "regexp_extract_all(text, '\\p{L}')"
 
 SQL: dict[str, str] = {
@@ -127,6 +183,34 @@ with p as (select doc_id, string_split(replace(text, chr(10) || '## ', chr(1) ||
 s as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as k from p),
 t as (select doc_id, k, regexp_replace(part, '^\\s+|\\s+$', '', 'g') as part from s)
 select doc_id, cast(k as int) as part_no, nullif(regexp_extract(part, '^## (.+)', 1), '') as heading, sha256(part) as sha from t""",
+    "chunk_greedy": f"""
+with recursive {CHUNKED}
+select doc_id, cast(chunk_index as int) as chunk_index, heading as section_heading, cast({_words("text")} as int) as word_count, sha256(text) as sha from cut""",
+    "corpus_build": f"""
+with recursive {CHUNKED}, {CHUNKS},
+placed as (
+  select k.*, c.source, case when c.source <> 'retired' then 'current' when l.quality is null then 'unmapped' when l.quality = 0 then 'dropped' else 'kept' end as status
+  from cut k join chunks c on c.id = k.doc_id left join labels l on l.doc_id = k.doc_id)
+select case source when 'live' then 'new' when 'retired' then 'old' else 'partner' end || ':d' || doc_id || ':' || chunk_index as chunk_id, source, status,
+       case source when 'live' then 'Live.'
+         when 'retired' then case when status = 'dropped' then 'Dropped or changed on the live site -- verify before relying on this.' else 'Believed to still exist on the live site.' end end as currency_note,
+       cast({_words("text")} as int) as word_count, sha256(text) as sha
+from placed""",
+    "cited_tags": f"""
+with {QUESTIONS}, drafts as (select b.q as answer_id, {DRAFT} as answer from questions b),
+found as (select answer_id, flatten(list_transform(regexp_extract_all(answer, '\\[([^\\]]*S\\d+[^\\]]*)\\]', 1), lambda g: regexp_extract_all(g, 'S\\d+'))) as t from drafts)
+select answer_id, array_to_string(list_sort(list_distinct(t)), '|') as tags from found""",
+    # All questions have eight sources, so that every digit from 1 to 8 names one.
+    "repair_tags": f"""
+with {QUESTIONS}, drafts as (select b.q as answer_id, {DRAFT} as answer from questions b)
+select answer_id, regexp_replace(regexp_replace(regexp_replace(answer, '\\[\\s*(?:S[A-Z]|source|src)\\s*([1-8])\\s*\\]', '[S\\1]', 'gi'),
+       '\\[\\s*(?:S[A-Z]|source|src)\\s*\\d+\\s*\\]', '', 'gi'), '\\[[A-Z][A-Z ]{{2,39}}\\]', '', 'g') as answer from drafts""",
+    "copied_ratio": f"""{top()},
+hay as (select q, string_agg(regexp_replace(text, '\\s+', ' ', 'g'), ' ') as hay from best group by q),
+drafts as (select b.q as answer_id, unnest(string_split({DRAFT}, chr(10))) as line from questions b),
+long as (select answer_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as line from drafts where length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) >= 60)
+select b.q as answer_id, round(coalesce(sum(case when contains(hay, regexp_replace(line, '\\s+', ' ', 'g')) then length(line) else 0 end) / sum(length(line)), 0.0), 8) as share
+from questions b left join long on long.answer_id = b.q left join hay on hay.q = b.q group by b.q""",
     "chunk_overlap": """
 with w as (select doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from documents)
 select doc_id, sha256(case when len(w) > 30 then array_to_string(w[len(w) - 29 : len(w)], ' ') else text end) as sha from w""",
