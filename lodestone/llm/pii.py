@@ -6,7 +6,9 @@ other separators and ``phone`` without a plus sign. A proposal has a score: a
 prior for its kind, raised by a passed checksum and by a context word within
 ``CONTEXT`` characters before it, lowered by a word that says the number is
 something else. An added proposal is reported from ``REPORT`` on and where no
-base span overlaps it; base spans stay whatever their score.
+base span overlaps it; base spans have a score of the same kind and stay
+whatever it is. Scores are returned beside the spans, for a caller who wants to
+be stricter.
 
 Spans are in code points, ends exclusive.
 """
@@ -41,10 +43,16 @@ IBAN_LENGTH = {"AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE":
 FOR = {
     "iban": re.compile(r"\b(?:iban|account|konto|kontonummer|compte|cuenta|bank)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|credit|karte|kreditkarte|carte|tarjeta)\b", re.I),
+    "email": re.compile(r"\b(?:e-?mail|mail|contact|write|kontakt|courriel|correo)\b", re.I),
+    "ip": re.compile(r"\b(?:ip|address|host|server|login|adresse|dirección)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|mobile|call|fax|telefon|handy|t[ée]l[ée]phone|tel[ée]fono|m[óo]vil)\b", re.I),
 }
 AGAINST = re.compile(r"\b(?:isbn|issn|doi|version|order|invoice|item|serial|bestellung|commande|pedido)\b", re.I)
+#: Before the checksum, and what a passed one adds. A base span's pattern is
+#: narrower than an added one's, which its prior says.
 PRIOR = {"iban": 0.2, "card": 0.2, "phone": 0.3}
+BASE_PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.2, "phone": 0.6}
+CHECKED = {"iban": 0.5, "card": 0.5}
 
 
 class Span(NamedTuple):
@@ -97,16 +105,23 @@ def _small_parts(ip: str) -> bool:
     return all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in ip.split("."))
 
 
+def score(kind: str, text: str, start: int, priors: dict[str, float]) -> float:
+    """From 0 to 1: the prior, the checksum that was passed, the words before."""
+    before = text[max(0, start - CONTEXT) : start]
+    moved = priors[kind] + CHECKED.get(kind, 0) + 0.3 * bool(FOR[kind].search(before)) - 0.4 * bool(AGAINST.search(before))
+    return round(min(max(moved, 0.0), 1.0), 2)
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind as listed in ``BASE``, then by start."""
-    found = [Span("email", a, b, 0.9) for a, b in _emails(text)]
-    found += [Span("ip", *m.span(), 0.8) for m in _IP.finditer(text) if _small_parts(m[0])]
+    found = [("email", a, b) for a, b in _emails(text)]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if _small_parts(m[0])]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := digits(m[0])) <= 19 and luhn(d):
-            found.append(Span("card", *m.span(), 0.8))
+            found.append(("card", *m.span()))
     if "+" in text:
-        found += [Span("phone", *m.span(), 0.7) for m in _PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
-    return found
+        found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return [Span(*s, score(s[0], text, s[1], BASE_PRIOR)) for s in found]
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
@@ -115,10 +130,9 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         for m in pattern.finditer(text):
             if not confirm(m[0]):
                 continue
-            before = text[max(0, m.start() - CONTEXT) : m.start()]
-            score = PRIOR[kind] + (0.5 if kind != "phone" else 0) + (0.3 if FOR[kind].search(before) else 0) - (0.4 if AGAINST.search(before) else 0)
-            if score >= REPORT and not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append(Span(kind, *m.span(), round(score, 2)))
+            worth = score(kind, text, m.start(), PRIOR)
+            if worth >= REPORT and not any(a < m.end() and m.start() < b for a, b in taken):
+                found.append(Span(kind, *m.span(), worth))
                 taken.append(m.span())
     return found
 
@@ -137,9 +151,10 @@ def _said(spans: list[Span]) -> str:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base string, spans string)``.
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base string, spans string,
+    scores array<double>)``.
 
-    The counts are of base spans. Null and empty texts have none. Rows are
+    The counts are of base spans, the scores of ``spans`` in their order. Null and empty texts have none. Rows are
     independent of each other: repeated rows, null ids and an empty table pass.
     """
 
@@ -147,10 +162,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             both = [find(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s.kind == k for s in b) for b, _ in both], pa.int64()) for k in BASE]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([_said(b) for b, _ in both], pa.string()), pa.array([_said(a) for _, a in both], pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([_said(b) for b, _ in both], pa.string()), pa.array([_said(a) for _, a in both], pa.string()), pa.array([[s.score for s in a] for _, a in both], pa.list_(pa.float64()))], ["doc_id", *(f"n_{k}" for k in BASE), "base", "spans", "scores"])
 
     rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + "".join(f"n_{k} long, " for k in BASE) + "base string, spans string")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + "".join(f"n_{k} long, " for k in BASE) + "base string, spans string, scores array<double>")
 
 
 def mask(text: str) -> str:

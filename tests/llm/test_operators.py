@@ -362,11 +362,16 @@ def test_pii(spark):
         out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
         return out
 
-    assert all([tuple(s[:3]) for s in pii.base_spans(t or "")] == base(t or "") for t in texts if t is None or len(t) < 10_000)
+    # Long texts too: plain patterns are slow on 20,000 digits, not wrong.
+    texts += ["x " * 50_000 + "a@b.cc 10.0.0.1 " + "y " * 50_000 + "4111-1111-1111-1111", "1.1.1.1 " * 5000]
+    assert all([tuple(s[:3]) for s in pii.base_spans(t or "")] == base(t or "") for t in texts)
     found = pii.spans(frame(spark, list(enumerate(texts)))).collect()
     for r in found:
-        assert r.base == ",".join("%s:%d:%d" % s for s in base(texts[r.doc_id] or "")) if len(texts[r.doc_id] or "") < 10_000 else True
+        assert r.base == ",".join("%s:%d:%d" % s for s in base(texts[r.doc_id] or ""))
+        assert len(r.scores) == len(list(filter(None, r.spans.split(",")))) and all(0 <= x <= 1 for x in r.scores)
         assert set(filter(None, r.base.split(","))) <= set(r.spans.split(","))
+    scored = lambda t: pii.find(t)[1][0].score
+    assert scored("order 4111 1111 1111 1111") < scored("4111 1111 1111 1111") < scored("card 4111 1111 1111 1111")
     assert pii.mask("iban DE89 3704 0044 0532 0130 00 x") == "iban [IBAN] x" and pii.mask("a@b.cc, +1 (974) 555-3436") == "[EMAIL], [PHONE]"
     assert {r.text for r in pii.masked(frame(spark)).collect()} == {t for _, t in ODD}
 
