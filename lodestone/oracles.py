@@ -158,6 +158,50 @@ cut as (
   from made m join sections s using (doc_id, part_no) where regexp_matches(m.text, '\\S'))"""
 LETTERS = "regexp_extract_all(text, '\\p{L}')"
 
+MONEY = r"(?i)(?:RM|MYR)\s?\d[\d,]*(?:\.\d{1,2})?"
+
+
+def _digits(v: str) -> str:
+    return f"regexp_replace(translate({v}, '၀၁၂၃၄၅၆၇၈၉', '0123456789'), '\\D', '', 'g')"
+
+
+def _loose(v: str) -> str:
+    return f"lower(regexp_replace(translate({v}, '၀၁၂၃၄၅၆၇၈၉', '0123456789'), '[\\s,\\x{{00A0}}]', '', 'g'))"
+
+
+def _date_key(v: str) -> str:
+    part = lambda pattern, k: f"regexp_extract({v}, '(?i)^(?:{pattern})$', {k})"
+    month = lambda name: f"list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(left({name}, 3)))"
+    two = lambda n: f"lpad(cast(cast({n} as int) as varchar), 2, '0')"
+    slash, dmy = r"(\d{1,2})/(\d{1,2})/(\d{2,4})", rf"(\d{{1,2}})\s+({MONTH})\.?,?\s+(\d{{4}})"
+    mdy, my = rf"({MONTH})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})", rf"({MONTH})\.?\s+(\d{{4}})"
+    year = f"cast({part(slash, 3)} as int)"
+    return f"""case when regexp_full_match({v}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then {v}
+      when {part(slash, 1)} <> '' then cast(case when {year} < 100 then {year} + 2000 else {year} end as varchar) || '-' || {two(part(slash, 2))} || '-' || {two(part(slash, 1))}
+      when {part(dmy, 1)} <> '' then {part(dmy, 3)} || '-' || {two(month(part(dmy, 2)))} || '-' || {two(part(dmy, 1))}
+      when {part(mdy, 1)} <> '' then {part(mdy, 3)} || '-' || {two(month(part(mdy, 1)))} || '-' || {two(part(mdy, 2))}
+      when {part(my, 1)} <> '' then {part(my, 2)} || '-' || {two(month(part(my, 1)))} end"""
+
+
+#: Each kind of fact is looked for in what the kinds before it left.
+FACTS = f"""
+t1 as (select doc_id, text, regexp_replace(text, '{EMAIL}', ' ', 'g') as r from documents),
+t2 as (select *, regexp_replace(r, '{MONEY}', ' ', 'g') as r2 from t1),
+t3 as (select *, regexp_replace(r2, '{DATE}', ' ', 'g') as r3 from t2),
+named as (
+  select doc_id, 1 as o, 'email' as kind, unnest(regexp_extract_all(text, '{EMAIL}')) as v, generate_subscripts(regexp_extract_all(text, '{EMAIL}'), 1) as k from t1
+  union all select doc_id, 2, 'amount', unnest(regexp_extract_all(r, '{MONEY}')), generate_subscripts(regexp_extract_all(r, '{MONEY}'), 1) from t2
+  union all select doc_id, 3, 'date', unnest(regexp_extract_all(r2, '{DATE}')), generate_subscripts(regexp_extract_all(r2, '{DATE}'), 1) from t3
+  union all select doc_id, 4, 'phone', unnest(regexp_extract_all(r3, '{PHONE}')), generate_subscripts(regexp_extract_all(r3, '{PHONE}'), 1) from t3),
+facts as (
+  select doc_id, o, k, kind, v, {_digits("v")} as d, {_loose("v")} as l, {_date_key("v")} as canon
+  from (select * replace (regexp_replace(v, '^\\s+|\\s+$', '', 'g') as v) from named)
+  where kind <> 'phone' or length({_digits("v")}) between 7 and 15),
+hay as (
+  select a.doc_id, {_loose("coalesce(b.text, '')")} as l, {_digits("coalesce(b.text, '')")} as d,
+         list_filter(list_transform(regexp_extract_all(coalesce(b.text, ''), '{DATE}'), lambda x: {_date_key("x")}), lambda x: x is not null) as days
+  from documents a left join documents b on b.doc_id = a.doc_id + 1)"""
+
 SQL: dict[str, str] = {
     "tokenize_tf": f"with t as (select doc_id as id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) as term from documents) select id, term, count(*) as tf from t group by all",
     "word_count": "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as int) as words, cast(length(regexp_replace(text, '\\s+', '', 'g')) as int) as compact from documents",
@@ -183,6 +227,19 @@ with p as (select doc_id, string_split(replace(text, chr(10) || '## ', chr(1) ||
 s as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as k from p),
 t as (select doc_id, k, regexp_replace(part, '^\\s+|\\s+$', '', 'g') as part from s)
 select doc_id, cast(k as int) as part_no, nullif(regexp_extract(part, '^## (.+)', 1), '') as heading, sha256(part) as sha from t""",
+    "fact_antijoin": f"""
+with {FACTS},
+missing as (
+  select f.*, case when kind = 'phone' then f.d when kind = 'date' then coalesce(canon, f.l) else f.l end as key
+  from facts f join hay h using (doc_id)
+  where not case
+    when kind = 'phone' then contains(h.d, f.d) or (f.d like '60%' and contains(h.d, '0' || f.d[3:])) or (f.d like '0%' and contains(h.d, '60' || f.d[2:]))
+    when kind = 'amount' then contains(h.l, 'rm' || regexp_replace(regexp_replace(f.l, '^(?:rm|myr)', ''), '\\.0+$', '')) or contains(h.l, 'myr' || regexp_replace(regexp_replace(f.l, '^(?:rm|myr)', ''), '\\.0+$', ''))
+    when kind = 'date' and canon is not null then list_contains(h.days, canon) or list_contains(list_transform(h.days, lambda x: left(x, 7)), canon)
+    else contains(h.l, f.l) end),
+first as (select * from missing qualify row_number() over (partition by doc_id, key order by o, k) = 1)
+select d.doc_id, cast(count(f.key) as int) as n_facts, coalesce(string_agg(f.v, '|' order by f.k) filter (where f.kind = 'phone'), '') as phones
+from documents d left join first f on d.doc_id = f.doc_id group by d.doc_id""",
     "chunk_greedy": f"""
 with recursive {CHUNKED}
 select doc_id, cast(chunk_index as int) as chunk_index, heading as section_heading, cast({_words("text")} as int) as word_count, sha256(text) as sha from cut""",

@@ -109,10 +109,10 @@ def date_key(spark, sf):
 
 @query
 def fact_antijoin(spark, sf):
-    """Facts of each document that the next one lacks."""
+    """Facts of each document that the next one lacks; the last has no next."""
     d = _table(spark, sf, "documents").select("doc_id", "text")
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("hay"))
-    both = d.join(after, "doc_id")
+    both = d.join(after, "doc_id", "left").withColumn("hay", F.coalesce("hay", F.lit("")))
     found = facts.unverified(F.col("text"), F.col("hay"))
     phones = F.filter(found, lambda f: f["kind"] == "phone")
     return both.select("doc_id", F.size(found).alias("n_facts"), F.array_join(F.transform(phones, lambda f: f["value"]), "|").alias("phones"))
