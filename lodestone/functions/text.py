@@ -6,6 +6,8 @@ count, which Java otherwise leaves out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ TOKEN = "[a-z0-9က-႟]+"
 FOLDED_DIGITS = ("၀၁၂၃၄၅၆၇၈၉", "0123456789")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case search tokens in order, with repeats."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import MAX_CHUNK_WORDS, OVERLAP_WORDS
-from lodestone.functions.text import strip, word_count, words
+from lodestone.functions.text import let, strip, word_count, words
 
 
 def split_sections(text: Column) -> Column:
@@ -29,11 +29,6 @@ def tail(text: Column, n: int = OVERLAP_WORDS) -> Column:
     return F.when(F.size(w) > n, F.array_join(F.slice(w, -n, n), " ")).otherwise(text)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _starts(sizes: Column, limit: int, overlap: int) -> Column:
     """Where packs start (from 0) if items are packed in order: an item that
     would exceed ``limit`` starts a pack, which begins with up to ``overlap``
@@ -62,7 +57,7 @@ def _packs(items: Column, separator: str, limit: int, overlap: int) -> Column:
         before = F.when(first > 0, F.array(tail(F.get(s["items"], first - 1)["text"], overlap))).otherwise(F.array().cast("array<string>")) if overlap else F.array().cast("array<string>")
         return F.array_join(F.concat(before, own), separator)
 
-    return _let(F.struct(items.alias("items"), starts.alias("starts")), lambda s: F.transform(s["starts"], lambda first, k: pack(s, first, k)))
+    return let(F.struct(items.alias("items"), starts.alias("starts")), lambda s: F.transform(s["starts"], lambda first, k: pack(s, first, k)))
 
 
 def _sized(texts: Column) -> Column:
@@ -73,7 +68,7 @@ def split_block(block: Column, limit: int = MAX_CHUNK_WORDS) -> Column:
     """A long block that is no table as packs of whole sentences."""
     # The cut is marked, as a split pattern may not look back over white space of any length.
     sentences = F.split(F.regexp_replace(block, "(?U)(?<=[.!?])\\s+(?=[A-Z0-9])", "\u0001"), "\u0001")
-    packed = _let(_sized(sentences), lambda items: _packs(items, " ", limit, 0))
+    packed = let(_sized(sentences), lambda items: _packs(items, " ", limit, 0))
     return F.when((word_count(block) <= limit) | is_table(block), F.array(block)).otherwise(packed)
 
 
@@ -81,7 +76,7 @@ def split_oversized(text: Column, limit: int = MAX_CHUNK_WORDS, overlap: int = O
     """A section as packs of blocks; each pack starts with the tail of the
     block before it, and takes the block that overflowed whatever its size."""
     blocks = F.flatten(F.transform(F.split(text, "\n\n"), lambda b: split_block(b, limit)))
-    packed = _let(_sized(blocks), lambda items: _packs(items, "\n\n", limit, overlap))
+    packed = let(_sized(blocks), lambda items: _packs(items, "\n\n", limit, overlap))
     return F.when(word_count(text) <= limit, F.array(text)).otherwise(packed)
 
 

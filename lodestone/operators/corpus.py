@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import LIVE, PARTNER, RETIRED, STATUS_EQUIVALENT, STATUS_GONE, STATUS_WARNED, WEIGHT_CURRENT, WEIGHT_EQUIVALENT, WEIGHT_GONE, WEIGHT_SUPERSEDED, WEIGHT_UNKNOWN
+from lodestone.functions.text import let
 from lodestone.operators.chunking import chunk_docs
 
 PREFIX = {RETIRED: "old", LIVE: "new", PARTNER: "partner"}
@@ -81,18 +82,15 @@ def supersede(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """The first rule ``(ord, match, reason)`` whose text a chunk contains,
     whatever the case, marks it superseded. Partner chunks are exempt.
 
-    Rules are a hand-written list. Its size is checked and they are put into
-    one array expression, so that no row is joined or repeated.
+    Rules are a hand-written list. Its size is checked; it travels as one
+    array, so that no row is joined or repeated.
     """
-    listed = rules.orderBy("ord").limit(MAX_RULES + 1).collect()
-    if len(listed) > MAX_RULES:
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} supersession rules")
-    if not listed:
-        return chunks
-    low = F.lower("text")
-    hit = F.coalesce(*(F.when(F.contains(low, F.lit(r["match"].lower())), F.lit(r["reason"])) for r in listed))
-    hit = F.when(F.col("source") != PARTNER, hit)
-    return chunks.withColumn("__hit", hit).withColumn("status", F.when(F.col("__hit").isNotNull(), "superseded").otherwise(F.col("status"))).withColumn("currency_note", F.coalesce("__hit", "currency_note")).drop("__hit")
+    listed = rules.agg(F.sort_array(F.collect_list(F.struct("ord", F.lower("match").alias("match"), "reason"))).alias("__rules"))  # one row
+    first = let(F.lower("text"), lambda low: F.get(F.filter("__rules", lambda r: F.contains(low, r["match"])), F.lit(0))["reason"])
+    hit = chunks.crossJoin(F.broadcast(listed)).withColumn("__hit", F.when(F.col("source") != PARTNER, first))
+    return hit.withColumn("status", F.when(F.col("__hit").isNotNull(), "superseded").otherwise(F.col("status"))).withColumn("currency_note", F.coalesce("__hit", "currency_note")).drop("__hit", "__rules")
 
 
 def embed_text(title: Column, heading: Column, text: Column) -> Column:
