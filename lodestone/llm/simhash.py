@@ -68,8 +68,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _tile_links(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        fp = np.asarray(table.column("fp")).astype(np.int64).view(np.uint64)
-        second = np.asarray(table.column("second")).astype(bool)
+        blocks = table.column("fps").combine_chunks()
+        fp = np.asarray(blocks.flatten()).astype(np.int64).view(np.uint64)
+        second = np.repeat(np.asarray(table.column("second")).astype(bool), np.asarray(blocks.value_lengths()))
         top = np.bitwise_count(fp >> np.uint64(48)).astype(np.int64)
         order = np.lexsort((top, second))
         fp, second, top = fp[order], second[order], top[order]
@@ -115,17 +116,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     sizes = rows.groupBy("cell").count().select("cell", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks"))
     other = sizes.select(F.col("cell").alias("near"), F.col("blocks").alias("near_blocks"))
     apart = F.abs(F.floor(F.col("cell") / 33) - F.floor(F.col("near") / 33)) + F.abs(F.col("cell") % 33 - F.col("near") % 33)
-    pairs = sizes.join(F.broadcast(other), apart <= radius)
-    dealt = (
-        rows.join(F.broadcast(pairs), "cell")
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .withColumn("near_block", F.explode(F.sequence(F.lit(0), F.col("near_blocks") - 1)))
-    )
+    pairs = sizes.join(F.broadcast(other), apart <= radius).select("cell", "near", "near_blocks")
+    # A block is one row, and so is its copy for each block that it is compared with.
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")
+    packed = rows.join(F.broadcast(sizes), "cell").groupBy("cell", block).agg(F.collect_list("fp").alias("fps"))
+    dealt = packed.join(F.broadcast(pairs), "cell").withColumn("near_block", F.explode(F.sequence(F.lit(0), F.col("near_blocks") - 1)))
     own, far = F.struct(F.col("cell").alias("c"), F.col("block").alias("b")), F.struct(F.col("near").alias("c"), F.col("near_block").alias("b"))
-    dealt = dealt.select("fp", (own > far).alias("second"), F.least(own, far).alias("one"), F.greatest(own, far).alias("two"))
-    keyed = dealt.select(F.col("one.c").alias("c1"), F.col("one.b").alias("b1"), F.col("two.c").alias("c2"), F.col("two.b").alias("b2"), "fp", "second")
+    dealt = dealt.select("fps", (own > far).alias("second"), F.least(own, far).alias("one"), F.greatest(own, far).alias("two"))
+    keyed = dealt.select(F.col("one.c").alias("c1"), F.col("one.b").alias("b1"), F.col("two.c").alias("c2"), F.col("two.b").alias("b2"), "fps", "second")
     drop = _tile_links(radius)
-    return keyed.groupBy("c1", "b1", "c2", "b2").applyInArrow(lambda t: drop(t.select(["fp", "second"])), "src long, dst long")
+    return keyed.groupBy("c1", "b1", "c2", "b2").applyInArrow(lambda t: drop(t.select(["fps", "second"])), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
