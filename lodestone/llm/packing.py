@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import pretoken
 from lodestone.llm.common import id_text, stored
 
-WINDOW, END_ID, CACHE_WORDS = 4096, 2, 300_000
+WINDOW, END_ID, CACHE_WORDS = 4096, 2, 150_000
 
 
 class Counter:

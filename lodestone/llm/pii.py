@@ -184,8 +184,8 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in the text; all columns stay in
     place, null texts stay null, no row is dropped."""
 
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: None if t is None else mask(t))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else mask(t) for x in texts], pa.string())
 
     return docs.withColumn(text_col, run(F.col(text_col)))

@@ -36,6 +36,8 @@ LEAST_DOCS, BEGINNINGS = 3, (4, 5, 6, 7, 8)
 #: The bias moves to where most rows are right, with at most ``FLAGGED`` of the
 #: clean ones flagged.
 FOLDS, FLAGGED, THRESHOLD = 5, 0.01, 0.3
+#: Words remembered by a worker; a word takes a microsecond or two to compute.
+CACHE_WORDS = 50_000
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&-_"
 
 
@@ -83,7 +85,7 @@ class Model:
         if self.constant is not None:
             return lambda text: (self.constant, np.zeros(0))
         of = self.weights.tolist()
-        word = Cache(lambda w: sum([of[k] for k in features(w)]), subwords.CACHE_WORDS)
+        word = Cache(lambda w: sum([of[k] for k in features(w)]), CACHE_WORDS)
 
         def score(text: str) -> tuple[float, np.ndarray]:
             words, starts = _split(text)
