@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import line_dedup, packing, pii, simhash, toxicity
-from lodestone.llm.common import load, spread, stored
+from lodestone.llm.common import bounded_batches, load, spread, stored
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -23,27 +23,32 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; an empty or null text stays."""
+    bounded_batches(spark)
     return toxicity.reject_toxic(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go; every document stays, if only as an
     empty text."""
+    bounded_batches(spark)
     return _counted(line_dedup.dedup_lines(docs), docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    bounded_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are masked; every document stays."""
+    bounded_batches(spark)
     return _counted(pii.masked(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import scratch_dir, spread, stored
 
-__all__ = ["id_text", "load", "merge_labels", "scratch_dir", "spread", "stored"]
+__all__ = ["bounded_batches", "id_text", "load", "merge_labels", "scratch_dir", "spread", "stored"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on: the JVM and the Python
+    workers keep the buffers of the largest ones from one stage to the next."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:  # none or less: unbounded
+        spark.conf.set(key, rows)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -99,3 +99,33 @@ def test_run_equals_a_brute_force_pipeline(spark, tmp_path):
         assert (p.sequence_id * 4096 + p.offset, p.doc_tokens) == (at, len(want[p.doc_id])) and p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start : p.start + p.length].tobytes())
         at += p.length
     assert at == sum(map(len, want.values()))
+
+
+def test_stages_bound_their_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        for before, after in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(key, before)
+            stage(spark, docs.limit(3), SF)
+            assert spark.conf.get(key) == after
+    spark.conf.unset(key)
+
+
+def test_packing_takes_small_groups(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.llm import packing
+
+    seen, texts = [], ["some words here " * 2000] * 100 + [None, "end"]
+    ids = packing.Counter.ids
+    monkeypatch.setattr(packing.Counter, "ids", lambda self, part: seen.append(part.nbytes) or ids(self, part))
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    run = {}
+    frame = type("D", (), {"dtypes": [("doc_id", "long")], "mapInArrow": lambda self, f, _: run.update(f=f)})()
+    monkeypatch.setattr(packing, "id_text", lambda *a: frame)
+    packing.tokenize(frame, tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(102)), pa.array([t or "" for t in texts])], ["doc_id", "text"])
+    out = list(run["f"](iter([batch])))
+    assert sum(b.num_rows for b in out) == 102 and len(out) > 1 and max(seen) < 2_000_000
+    assert out[-1].column("before")[-1].as_py() == sum(sum(b.column("n").to_pylist()) for b in out) - out[-1].column("n")[-1].as_py()
