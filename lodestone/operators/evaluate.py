@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from lodestone.config import TOP_K
 from lodestone.functions.text import eval_hay, eval_norm, token_estimate
 from lodestone.operators.retrieval import MAX_QUERIES
+from lodestone.sources.scratch import stored
 
+#: Pairs that a broadcast copy may have.
+FEW = 200_000
 
-def gold_ranks(gold: DataFrame, ranking: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Per ``gold(q, fact, kind)`` the first rank, by each method, of
-    a chunk that holds the fact, and whether it is among the best ``k``.
+
+def holding(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(q, id)``, stored: the chunks that hold the fact of ``gold(q, fact,
+    kind)``; marked for broadcasting while they are few.
 
     Texts are normalised once each; facts are compared with all of them, from a
     broadcast copy while they are few.
@@ -21,6 +25,15 @@ def gold_ranks(gold: DataFrame, ranking: DataFrame, chunks: DataFrame, k: int =
     forms = F.broadcast(forms) if gold.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else forms
     hay = chunks.select("id", eval_hay(F.col("text"), F.lit("phone")).alias("phone"), eval_hay(F.col("text"), F.lit("text")).alias("words"))
     holds = hay.join(forms, F.contains(F.when(F.col("kind") == "phone", F.col("phone")).otherwise(F.col("words")), F.col("form"))).select("q", "id")
+    found = stored(holds.distinct(), "holds")
+    return F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
+
+
+def gold_ranks(gold: DataFrame, ranking: DataFrame, chunks: DataFrame | None, k: int = TOP_K, holds: DataFrame | None = None) -> DataFrame:
+    """Per ``gold(q, fact, kind)`` the first rank, by each method, of
+    a chunk that holds the fact (``holding``, if already known), and whether it is
+    among the best ``k``."""
+    holds = holding(gold, chunks) if holds is None else holds
     first = ranking.join(holds, ["q", "id"]).groupBy("q").agg(*(F.min(r).alias(n) for r, n in (("rank", "rank_fused"), ("rank_dense", "rank_dense"), ("rank_bm25", "rank_bm25"))))
     return gold.join(first, "q", "left").withColumn("hit", F.coalesce(F.col("rank_fused") <= k, F.lit(False)))
 

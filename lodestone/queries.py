@@ -232,17 +232,13 @@ def vocab_coverage(spark, sf):
     return c.select("q", F.round("coverage", 8).alias("coverage"), F.round("w_sparse", 8).alias("w_sparse"))
 
 
-def _scores(spark, sf):
-    return retrieval.hybrid_scores(_indexed(spark, sf), _questions(spark, sf))
-
-
 def _ranking(spark, sf):
     return retrieval.hybrid(_indexed(spark, sf), _questions(spark, sf))
 
 
 @query
 def rrf_fusion(spark, sf):
-    return _scores(spark, sf).select("q", "id", "rank_dense", "rank_bm25", F.round("fused", 8).alias("fused"))
+    return _ranking(spark, sf).select("q", "id", "rank_dense", "rank_bm25", F.round("fused", 8).alias("fused"))
 
 
 @query
@@ -251,7 +247,7 @@ def minmax_score(spark, sf):
 
 
 def _top(spark, sf, choice=None):
-    return retrieval.top_k(_scores(spark, sf), _chunks(spark, sf), choice=choice).select("q", "id", "position", "rank", "source", "score", "raw")
+    return retrieval.hybrid_top(_indexed(spark, sf), _questions(spark, sf), choice=choice).select("q", "id", "position", "rank", "source", "score", "raw")
 
 
 @query
@@ -277,9 +273,12 @@ def refusal_gate(spark, sf):
 # --- evaluation -----------------------------------------------------------
 
 
-def _cases(spark, sf, ranking=None):
-    gold = _table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("fact"), F.lit("text").alias("kind"))
-    return evaluate.gold_ranks(gold, _ranking(spark, sf) if ranking is None else ranking, _chunks(spark, sf))
+def _gold(spark, sf):
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("fact"), F.lit("text").alias("kind"))
+
+
+def _cases(spark, sf):
+    return evaluate.gold_ranks(_gold(spark, sf), _ranking(spark, sf), _chunks(spark, sf))
 
 
 @query
@@ -290,10 +289,13 @@ def gold_rank(spark, sf):
 
 @query
 def recall_at_k(spark, sf):
-    """One stored ranking gives the cases and the prompts."""
-    ranking = stored(_ranking(spark, sf), "ranking")
+    """Of one ranking, what gives the cases and the prompts is stored."""
+    gold = _gold(spark, sf)
+    holds = evaluate.holding(gold, _chunks(spark, sf))
+    marked = _ranking(spark, sf).join(holds.withColumn("held", F.lit(True)), ["q", "id"], "left")
+    ranking = stored(marked.where(F.col("held") | (F.col("rank") <= 8)), "ranking")
     shown = ranking.where(F.col("rank") <= 8).select("q", "id").join(_chunks(spark, sf).select("id", "text"), "id")
-    s = evaluate.summary(_cases(spark, sf, ranking), evaluate.prompt_sizes(shown))
+    s = evaluate.summary(evaluate.gold_ranks(gold, ranking, None, holds=holds), evaluate.prompt_sizes(shown))
     return s.withColumn("recall_at_k", F.round("recall_at_k", 8))
 
 

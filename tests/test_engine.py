@@ -187,3 +187,26 @@ def test_dense_scores_questions_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MAX_QUERIES", 3)
     assert len(whole) == 21 and sorted(map(tuple, retrieval.dense(chunks, asked).collect())) == whole
     assert retrieval.dense(chunks, asked.limit(0)).count() == 0
+
+
+def test_ranking_by_arrays_is_the_ranking_by_rows(spark, monkeypatch):
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(n))
+    texts = [say(6) for _ in range(30)]
+    vectors = [[float(rnd.randint(-2, 2)) for _ in range(3)] for _ in range(20)] + [None, [1.0], [0.0, 0.0, 0.0]]
+    rows = [(f"c{k}", rnd.choice([*texts, None, "..."]), rnd.choice(vectors), rnd.choice([0.6, 0.9, 1.0]), rnd.choice(["live", "retired", "partner"])) for k in range(150)]
+    chunks = spark.createDataFrame(rows, "id string, text string, vector array<double>, weight double, source string").repartition(3)
+    asked = spark.createDataFrame([(k, say(k), [float(k), 1.0, -1.0]) for k in range(5)], "q long, text string, vector array<double>")
+    kept, stored = [], retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df, *a: (kept.append(out := stored(df, *a)), out)[1])
+
+    def answers():
+        whole = sorted(retrieval.hybrid(chunks, asked).select("q", "id", "raw", "bm25", "rank_dense", "rank_bm25", F.round("fused", 12), "score", "rank").collect())
+        return [whole, *(sorted(retrieval.hybrid_top(chunks, asked, 4, c).select("q", "id", "position", "rank", "source", "score", "raw").collect()) for c in (None, "new", "old"))]
+
+    lean, most = answers(), max(t.count() for t in kept)
+    assert len(lean[0]) == 750 and most < 150
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 2)
+    assert answers() == lean
+    monkeypatch.setattr(retrieval, "WHOLE", 10)
+    assert answers() == lean and max(t.count() for t in kept) == 750
