@@ -34,20 +34,41 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(table) if name in ("documents", "pages") else table
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, text, title, source, status, weight)`` of all documents."""
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, text, lang, title, source)`` of all documents."""
     number = F.regexp_extract("source", "(\\d+)$", 1).cast("int") % 3
     role = F.when(number == 0, LIVE).when(number == 1, RETIRED).otherwise(PARTNER)
-    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", role.alias("source"), F.col("source").alias("title"))
-    gap = _table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "superseded").when(F.col("quality") == 0, "dropped").otherwise("kept").alias("gap"))
-    joined = docs.join(gap, "doc_id", "left")
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("title"), role.alias("source"))
+
+
+def _weighed(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
+    """``texts`` with their status and weight."""
+    gap = _table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "superseded").when(F.col("quality") == 0, "dropped").otherwise("kept").alias("gap"))
     status = F.when(F.col("gap") == "superseded", "superseded").when(F.col("source") == RETIRED, F.coalesce("gap", F.lit("unmapped"))).otherwise("current")
-    return joined.select(F.col("doc_id").alias("id"), "text", "lang", "title", "source", status.alias("status")).withColumn("weight", corpus.currency_weight(F.col("source"), F.col("status")))
+    return texts.join(gap, "id", "left").withColumn("status", status).drop("gap").withColumn("weight", corpus.currency_weight(F.col("source"), F.col("status")))
 
 
-def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, text, lang, title, source, status, weight)`` of all documents."""
+    return _weighed(spark, sf, _texts(spark, sf))
+
+
+def _vectors(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame:
     vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return _chunks(spark, sf).join(vectors, "id", "left")
+    return chunks.join(vectors, "id", "left")
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf, _chunks(spark, sf))
+
+
+def _late(spark: SparkSession, sf: str, more: Callable[[DataFrame], DataFrame] = lambda d: d) -> retrieval.Late | None:
+    """How labels and vectors come to the texts, if no id has two of them: else
+    the joins say how many chunks there are."""
+    for name, key in (("labels", "doc_id"), ("embeddings", "vec_id")):
+        if not _table(spark, sf, name).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+            return None
+    return _texts(spark, sf), lambda d: more(_vectors(spark, sf, _weighed(spark, sf, d)))
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +254,7 @@ def vocab_coverage(spark, sf):
 
 
 def _ranking(spark, sf):
-    return retrieval.hybrid(_indexed(spark, sf), _questions(spark, sf))
+    return retrieval.hybrid(_indexed(spark, sf), _questions(spark, sf), _late(spark, sf))
 
 
 @query
@@ -247,7 +268,7 @@ def minmax_score(spark, sf):
 
 
 def _top(spark, sf, choice=None):
-    return retrieval.hybrid_top(_indexed(spark, sf), _questions(spark, sf), choice=choice).select("q", "id", "position", "rank", "source", "score", "raw")
+    return retrieval.hybrid_top(_indexed(spark, sf), _questions(spark, sf), choice=choice, late=_late(spark, sf)).select("q", "id", "position", "rank", "source", "score", "raw")
 
 
 @query
@@ -432,8 +453,13 @@ def _drafts(spark, sf):
 
 
 def _evidence(spark, sf):
+    return _as_evidence(_indexed(spark, sf)).drop("lang")
+
+
+def _as_evidence(chunks):
     none = F.lit(None).cast("string")
-    return _indexed(spark, sf).select("id", "text", "vector", "weight", "source", "status", "title", none.alias("section"), F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("url"), F.col("id").cast("string").alias("doc_path"), none.alias("citation"), none.alias("source_document"), none.alias("review_by"))
+    more = {"section": none, "url": F.concat(F.lit("https://example.org/"), F.col("id").cast("string")), "doc_path": F.col("id").cast("string"), "citation": none, "source_document": none, "review_by": none}
+    return chunks.withColumns(more)
 
 
 @query

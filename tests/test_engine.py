@@ -210,3 +210,33 @@ def test_ranking_by_arrays_is_the_ranking_by_rows(spark, monkeypatch):
     assert answers() == lean
     monkeypatch.setattr(retrieval, "WHOLE", 10)
     assert answers() == lean and max(t.count() for t in kept) == 750
+
+
+def test_texts_stay_out_of_the_joins_of_a_ranking(spark):
+    rnd = random.Random(6)
+    texts = spark.createDataFrame([(k, rnd.choice(["a b", "b b c", "d", None]), rnd.choice(["live", "retired"])) for k in range(90)], "id long, text string, source string").repartition(3)
+    more = spark.createDataFrame([(k, [float(k % 7), 1.0], 0.5 + k % 3 / 4) for k in range(0, 180, 2)], "id long, vector array<double>, weight double")
+    seen = []
+
+    def join(d):
+        seen.append(d.columns)
+        return d.join(more, "id", "left").fillna(0.9, "weight")
+
+    chunks, late = join(texts), (texts, join)
+    asked = spark.createDataFrame([(1, "b c", [1.0, 0.0]), (2, "d a", [0.0, 1.0]), (3, "", [1.0, 1.0])], "q long, text string, vector array<double>")
+    seen.clear()
+    assert sorted(retrieval.hybrid(chunks, asked, late).collect()) == sorted(retrieval.hybrid(chunks, asked).collect())
+    best = retrieval.hybrid_top(chunks, asked, 4, "new", late)
+    assert sorted(best.select("q", "id", "rank").collect()) == sorted(retrieval.hybrid_top(chunks, asked, 4, "new").select("q", "id", "rank").collect())
+    assert seen and not any("text" in c for c in seen)
+    assert retrieval.only(best, chunks, late).count() == best.select("id").distinct().count()
+
+
+def test_packed_scores_come_back_in_fewer_bytes():
+    import numpy as np
+
+    x = retrieval._half_up(np.random.default_rng(1).uniform(-1, 1, 1000))
+    x[::2] = np.nan
+    assert np.array_equal(retrieval._unpack(retrieval._pack(x, np.nan), 1000, np.nan), x, equal_nan=True) and len(retrieval._pack(x, np.nan)) < 3000
+    odd = np.array([0.0, np.inf, 1e12, np.nan, 0.1 + 0.2])
+    assert np.array_equal(retrieval._unpack(retrieval._pack(odd, 0.0), 5, 0.0), odd, equal_nan=True)
