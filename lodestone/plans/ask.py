@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import MIN_SCORE, SHORT_QUESTION, TOP_K, WEAK_SCORE
 from lodestone.functions.text import collapse, compact_length, last_entries, script, strip
-from lodestone.operators.retrieval import hybrid_top
+from lodestone.operators.retrieval import Late, hybrid_top, only
 from lodestone.operators.verify import REFUSAL, verify
 from lodestone.sources.scratch import stored
 
@@ -100,9 +100,13 @@ def _one_retry(generate: Generator, prompts: DataFrame) -> DataFrame:
     return both.withColumn("lang_drift", drift & F.col("__again").isNull()).withColumn("answer", F.coalesce("__again", "answer")).drop("__again")
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, choice: str | None = None) -> DataFrame:
-    """``questions`` with ``results`` (an array in tag order) and ``top_raw``."""
-    best = hybrid_top(chunks, questions, k, choice).join(chunks.drop("source", "vector", "weight"), "id")
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, choice: str | None = None, late: Late | None = None) -> DataFrame:
+    """``questions`` with ``results`` (an array in tag order) and ``top_raw``;
+    ``late`` as in ``retrieval``."""
+    best = hybrid_top(chunks, questions, k, choice, late)
+    if late is not None:  # read twice
+        best = stored(best, "best")
+    best = best.join(only(best, chunks, late).drop("source", "vector", "weight"), "id")
     found = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("position", "id", "title", "section", "url", "source", "status", "text", "doc_path", "score", "raw", "citation", "source_document", "review_by"))).alias("results"))
     joined = questions.join(found, "q", "left")
     return joined.withColumn("results", F.coalesce("results", F.array().cast(dict(found.dtypes)["results"]))).withColumn("top_raw", F.coalesce(F.array_max(F.transform("results", lambda r: r["raw"])), F.lit(0.0)))

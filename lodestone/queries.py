@@ -447,7 +447,7 @@ def plain_text(spark, sf):
 def _drafts(spark, sf):
     """Drafts made of the benchmark items: real tags, invented ones, mangled
     ones, an unknown address, and what the item says."""
-    found = ask_plan.retrieve(_evidence(spark, sf), _questions(spark, sf))
+    found = ask_plan.retrieve(_evidence(spark, sf), _questions(spark, sf), late=_late(spark, sf, _as_evidence))
     draft = F.concat(F.lit("### [S1]\nPlease register [S1, S9] here: https://nowhere.example/x. [SD2] [REMEMBER] "), F.col("text"))
     return stored(found.select(F.col("q").alias("answer_id"), draft.alias("answer"), F.col("text").alias("question"), "top_raw", F.lit(False).alias("lang_drift"), "results"), "drafts")
 
