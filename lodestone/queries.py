@@ -299,7 +299,7 @@ def _gold(spark, sf):
 
 
 def _cases(spark, sf):
-    return evaluate.gold_ranks(_gold(spark, sf), _ranking(spark, sf), _chunks(spark, sf))
+    return evaluate.gold_ranks(_gold(spark, sf), _ranking(spark, sf), _texts(spark, sf))
 
 
 @query
@@ -312,10 +312,11 @@ def gold_rank(spark, sf):
 def recall_at_k(spark, sf):
     """Of one ranking, what gives the cases and the prompts is stored."""
     gold = _gold(spark, sf)
-    holds = evaluate.holding(gold, _chunks(spark, sf))
+    holds = evaluate.holding(gold, _texts(spark, sf))
     marked = _ranking(spark, sf).join(holds.withColumn("held", F.lit(True)), ["q", "id"], "left")
     ranking = stored(marked.where(F.col("held") | (F.col("rank") <= 8)), "ranking")
-    shown = ranking.where(F.col("rank") <= 8).select("q", "id").join(_chunks(spark, sf).select("id", "text"), "id")
+    shown = ranking.where(F.col("rank") <= 8).select("q", "id")
+    shown = shown.join(retrieval.only(shown, _chunks(spark, sf), _late(spark, sf)).select("id", "text"), "id")
     s = evaluate.summary(evaluate.gold_ranks(gold, ranking, None, holds=holds), evaluate.prompt_sizes(shown))
     return s.withColumn("recall_at_k", F.round("recall_at_k", 8))
 
