@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import scratch_dir, spread, stored
 
-__all__ = ["bounded_batches", "id_text", "load", "merge_labels", "scratch_dir", "spread", "stored"]
+__all__ = ["bounded_batches", "bounded_bytes", "id_text", "load", "merge_labels", "scratch_dir", "spread", "stored"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,17 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def bounded_bytes(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of about ``most`` bytes from now on, as ``bounded_batches``
+    for rows of some MB each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20}
+    size = now.rstrip("bkmgtp")
+    if not size.isdigit() or not 0 < int(size) * units.get(now[len(size) :] or "b", most + 1) <= most:
+        spark.conf.set(key, str(most))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

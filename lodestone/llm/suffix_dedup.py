@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_text, scratch_dir, stored
+from lodestone.llm.common import bounded_bytes, id_text, scratch_dir, stored
 from lodestone.llm.suffix_sort import equal_prefixes
 
 LENGTH, SEED, HOT = 50, 24, 512
@@ -302,6 +303,48 @@ def _surroundings(table: DataFrame, answers: DataFrame, owners: int, length: int
     return _told(table, answers, ["shared", "hot"], owners).mapInArrow(run, "batch long, owner long, rows binary, least binary")
 
 
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after the other."""
+    parts = []
+    for c in column.chunks:
+        offsets = np.frombuffer(c.buffers()[1], "<i8" if pa.types.is_large_binary(c.type) else "<i4", count=len(c) + 1, offset=c.offset * (8 if pa.types.is_large_binary(c.type) else 4)) if len(c) else np.zeros(1, np.int64)
+        if offsets[-1] > offsets[0]:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint8), *parts])
+
+
+def _by_string(rows: np.ndarray, least: np.ndarray, length: int, reach: int) -> np.ndarray:
+    """What ``_sort_suffixes`` finds for the surroundings of one anchor, string
+    by string: equal ones have the anchor at the same place and the same hash,
+    by which the suffix arrays are cut, so that none grows with their number."""
+    width, bits = rows.shape[1] - 2, np.zeros(len(rows), np.uint32)
+    for o in range(reach + 1):
+        valid = np.flatnonzero((o <= rows[:, width]) & (reach - o <= rows[:, width + 1]))
+        at = reach - o
+        h = np.zeros(len(valid), np.uint64)
+        for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            h = _mix(h + np.ascontiguousarray(rows[valid, at + k : at + k + 8]).view("<u8").ravel() * _C[k // 8 % 3])
+        order = np.argsort(h, kind="stable")
+        change = h[order][1:] != h[order][:-1]
+        # Strings that are there once are done with, as only they have their hash.
+        several = order[~(np.r_[True, change] & np.r_[change, True])] if len(order) else order
+        new = np.flatnonzero(np.r_[True, h[several][1:] != h[several][:-1]]) if len(several) else np.zeros(0, np.int64)
+        cuts = new[np.unique(new * length // ARRAY_BYTES, return_index=True)[1]].tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(several)]):
+            mine = valid[several[a:b]]
+            # Only one of the rows of a string is sorted, if the bytes are the same.
+            first = np.r_[True, h[several[a:b]][1:] != h[several[a:b]][:-1]]
+            same, text = np.cumsum(first) - 1, rows[mine, at : at + length]
+            if not (text == text[first][same]).all():
+                first, same = np.ones(len(mine), bool), np.arange(len(mine))
+            flat = np.concatenate([text[first].ravel(), np.zeros(8, np.uint8)])
+            number = equal_prefixes(flat, np.arange(int(first.sum())) * length, length)[same]
+            smallest = np.full(int(number.max()) + 1, _LAST)
+            np.minimum.at(smallest, number, least[mine])
+            bits[mine] |= (smallest[number] < least[mine]).astype(np.uint32) << np.uint32(o)
+    return bits
+
+
 def _sort_suffixes(sent: DataFrame, length: int, seed: int) -> DataFrame:
     """``(batch, owner, rows, least)``: for each surrounding the bits of the
     strings in it that start in a document of smaller id than its smallest."""
@@ -309,9 +352,9 @@ def _sort_suffixes(sent: DataFrame, length: int, seed: int) -> DataFrame:
     width = 2 * reach + seed
 
     def decide(group: pa.Table) -> pa.Table:
-        sizes = [len(x) // (width + 2) for x in group.column("rows").to_pylist()]
-        rows = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.uint8).reshape(-1, width + 2)
-        least = np.frombuffer(b"".join(group.column("least").to_pylist()), "<i8")
+        sizes = np.asarray(pc.binary_length(group.column("rows"))) // (width + 2)
+        rows = _joined(group.column("rows")).reshape(-1, width + 2)
+        least = _joined(group.column("least")).view("<i8")
         bits = np.zeros(len(rows), np.uint32)
         # Surroundings of one anchor stay together; arrays are cut between anchors.
         h = np.zeros(len(rows), np.uint64)
@@ -321,10 +364,13 @@ def _sort_suffixes(sent: DataFrame, length: int, seed: int) -> DataFrame:
         order = np.argsort(h, kind="stable")
         new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         cuts = [0]
-        for c in new[1:]:
-            if (c - cuts[-1]) * width >= ARRAY_BYTES:
-                cuts.append(int(c))
+        for c, following in zip(new[1:].tolist(), [*new[2:].tolist(), len(rows)]):
+            if (c - cuts[-1]) * width >= ARRAY_BYTES or (following - c) * width >= 2 * ARRAY_BYTES:
+                cuts.append(c)
         for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            if (b - a) * width >= 2 * ARRAY_BYTES:  # one anchor among very many texts
+                bits[order[a:b]] = _by_string(rows[order[a:b]], least[order[a:b]], length, reach)
+                continue
             part = rows[order[a:b]]
             # Equal surroundings of different batches are one.
             key = np.zeros(len(part), np.uint64)
@@ -403,6 +449,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if seed < 16 or seed % 8 or not 8 <= length - seed <= 31:
         raise ValueError("seed must be 16, 24, ... and 8 to 31 less than length")
+    bounded_bytes(docs.sparkSession)
     owners = min(max(8, docs.rdd.getNumPartitions()), 65_536)
     table = _batch_table(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, owners)
     copies = stored(_find_copies(table, owners), "copies")

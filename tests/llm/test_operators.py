@@ -287,6 +287,30 @@ def test_embedding_dedup_orders_grow_with_the_table():
     assert [embedding_dedup._orders(n) for n in (0, 1, 4096, 4097, 60_000, 1 << 20)] == [3, 3, 3, 4, 7, 11]
 
 
+def test_suffix_anchor_among_many_texts(monkeypatch):
+    """One anchor's strings in pieces of bounded size give what one array gives."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, (400, 76)).astype(np.uint8)
+    text[:, 26:50] = 65
+    text[:, :20], text[:, 56:] = text[rng.integers(0, 3, 400), :20], text[rng.integers(0, 3, 400), 56:]
+    rows = np.concatenate([text, rng.integers(20, 27, (400, 2)).astype(np.uint8)], axis=1)
+    least = rng.integers(0, 50, 400)
+    want, first = [], {}
+    strings = [[(o, bytes(r[26 - o : 76 - o])) if o <= r[76] and 26 - o <= r[77] else None for o in range(27)] for r in rows]
+    for own, k in zip(strings, least.tolist()):
+        for s in own:
+            first[s] = min(first.get(s, k), k)
+    for own, k in zip(strings, least.tolist()):
+        want.append(sum(1 << o for o, s in enumerate(own) if s is not None and first[s] < k))
+    sizes, whole = [], suffix_dedup.equal_prefixes
+    monkeypatch.setattr(suffix_dedup, "equal_prefixes", lambda text, *a: (sizes.append(len(text)), whole(text, *a))[1])
+    for most in (500, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", most)
+        sizes.clear()
+        assert suffix_dedup._by_string(rows, least, 50, 26).tolist() == want and any(want)
+        assert max(sizes) < 20_000
+
+
 def test_suffix_anchor_of_the_least_hash(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_mix", np.zeros_like)
     batch = suffix_dedup.Batch({"ids": np.array([1], "<i8").tobytes(), "sizes": np.array([50], "<i8").tobytes(), "text": bytes(range(50))}, 50, 24)
