@@ -240,3 +240,36 @@ def test_packed_scores_come_back_in_fewer_bytes():
     assert np.array_equal(retrieval._unpack(retrieval._pack(x, np.nan), 1000, np.nan), x, equal_nan=True) and len(retrieval._pack(x, np.nan)) < 3000
     odd = np.array([0.0, np.inf, 1e12, np.nan, 0.1 + 0.2])
     assert np.array_equal(retrieval._unpack(retrieval._pack(odd, 0.0), 5, 0.0), odd, equal_nan=True)
+
+
+def test_scores_of_one_round_are_on_disk_at_a_time(spark, monkeypatch):
+    import os
+    import time
+
+    rnd = random.Random(7)
+    say = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(n))
+    rows = [(k, say(9), [rnd.uniform(-1, 1) for _ in range(3)] if k % 5 else None, rnd.choice([0.6, 1.0]), rnd.choice(["live", "retired"])) for k in range(3000)]
+    chunks = spark.createDataFrame(rows, "id long, text string, vector array<float>, weight double, source string").repartition(3).persist()
+    asked = spark.createDataFrame([(k, say(5) if k else "", [float(k), 1.0, -1.0]) for k in range(11)], "q long, text string, vector array<double>")
+    dirs = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    answer = lambda c: sorted(retrieval.hybrid_top(chunks, asked, 4, c).select("q", "id", "position", "rank", "source", "score", "raw").collect())
+    whole = [answer(c) for c in (None, "new")]
+    kept, stored = [], retrieval.stored
+
+    def keep(df, label, *a):
+        before, out = shuffled(), stored(df, label, *a)
+        for _ in range(50):
+            if not (left := shuffled() - before):
+                break
+            time.sleep(0.1)
+        kept.append((label, len(left), out.count()))
+        return out
+
+    monkeypatch.setattr(retrieval, "stored", keep)
+    monkeypatch.setattr(retrieval, "_ROUND", 4, raising=False)
+    monkeypatch.setattr(retrieval, "_ROUND_PAIRS", 1, raising=False)
+    assert [answer(c) for c in (None, "new")] == whole
+    assert [k[0] for k in kept] == ["vocabulary", "counts", "best", "best", "best", "picked"] * 2
+    assert not any(left for _, left, _ in kept) and [n for label, _, n in kept[:6] if label == "best"] == [16, 16, 12]
+    assert max(n for label, _, n in kept if label == "counts") < 100
