@@ -273,3 +273,15 @@ def test_scores_of_one_round_are_on_disk_at_a_time(spark, monkeypatch):
     assert [k[0] for k in kept] == ["vocabulary", "counts", "best", "best", "best", "picked"] * 2
     assert not any(left for _, left, _ in kept) and [n for label, _, n in kept[:6] if label == "best"] == [16, 16, 12]
     assert max(n for label, _, n in kept if label == "counts") < 100
+
+
+def test_refusal_gate_asks_in_rounds(spark, monkeypatch):
+    import __spark_entry__ as e
+
+    gate = lambda: sorted(e.queries()["refusal_gate"](spark, e.SMOKE_DIR).collect())
+    whole, kept, stored = gate(), [], retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df, label, *a: (kept.append((label, out := stored(df, label, *a))), out)[1])
+    monkeypatch.setattr(retrieval, "_ROUND", 16, raising=False)
+    monkeypatch.setattr(retrieval, "_ROUND_PAIRS", 1, raising=False)
+    assert gate() == whole and len(whole) == 40
+    assert [t.count() for label, t in kept if label == "best"] == [14 * 8, 14 * 8, 12 * 8]
