@@ -5,10 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _rooted: set[str] = set()
+#: Labels, and the folders of what was stored under them, for each ``passing``.
+_passing: ContextVar[tuple[tuple[tuple[str, ...], list[str]], ...]] = ContextVar("passing", default=())
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,7 +43,11 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     This cuts the lineage: a lost executor costs the tasks it ran, not the
     whole history, and nothing depends on an executor's own disk.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{label}"
+    folder = scratch_dir(df.sparkSession)
+    path = f"{folder}/{label}"
+    for labels, folders in _passing.get():
+        if label in labels:
+            folders.append(folder)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,6 +70,23 @@ def freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def passing(spark: SparkSession, *labels: str) -> Iterator[None]:
+    """What is ``stored`` under these labels in this block is deleted at its end.
+
+    Nothing that outlives the block may read it.
+    """
+    folders: list[str] = []
+    before = _passing.set((*_passing.get(), (labels, folders)))
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if its files give fewer partitions than there are.
 

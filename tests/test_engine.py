@@ -285,3 +285,35 @@ def test_refusal_gate_asks_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_ROUND_PAIRS", 1, raising=False)
     assert gate() == whole and len(whole) == 40
     assert [t.count() for label, t in kept if label == "best"] == [14 * 8, 14 * 8, 12 * 8]
+
+
+def test_pairs_of_one_round_are_on_disk_at_a_time(spark, monkeypatch):
+    import __spark_entry__ as e
+
+    from lodestone.sources import scratch
+
+    monkeypatch.setattr(retrieval, "WHOLE", 10)
+    gate = lambda: sorted(e.queries()["refusal_gate"](spark, e.SMOKE_DIR).collect())
+    live = lambda: sorted(e.queries()["hybrid_topk_live"](spark, e.SMOKE_DIR).collect())
+    whole, kept, stored = [gate(), live()], [], retrieval.stored
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.FileSystem.get(spark.sparkContext._jvm.java.net.URI(scratch.scratch_dir(spark)), spark.sparkContext._jsc.hadoopConfiguration())
+
+    def there():
+        return [p.getPath().getName() for top in fs.listStatus(hadoop.Path(scratch.scratch_dir(spark)).getParent()) for p in fs.listStatus(top.getPath())]
+
+    before = len(there())
+
+    def keep(df, label, *a):
+        out = stored(df, label, *a)
+        kept.append((label, there().count("pairs"), out.count()))
+        return out
+
+    pairs = there().count("pairs")
+    monkeypatch.setattr(retrieval, "stored", keep)
+    monkeypatch.setattr(retrieval, "_ROUND_ROWS", 16 * 200, raising=False)
+    assert [gate(), live()] == whole and len(whole[0]) == 40
+    assert max(n for _, n, _ in kept) == pairs + 1 and [n for label, _, n in kept if label == "pairs"] == [16 * 200, 16 * 200, 8 * 200] * 2
+    # A few best ones of each round are left, and the vocabulary that was counted.
+    left = there()
+    assert len(left) - before == 2 * (3 + 1) and left.count("pairs") == pairs
