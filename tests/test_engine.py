@@ -317,3 +317,27 @@ def test_pairs_of_one_round_are_on_disk_at_a_time(spark, monkeypatch):
     # A few best ones of each round are left, and the vocabulary that was counted.
     left = there()
     assert len(left) - before == 2 * (3 + 1) and left.count("pairs") == pairs
+
+
+def test_best_keywords_are_found_without_moving_postings(spark, monkeypatch):
+    import __spark_entry__ as e
+
+    rnd = random.Random(9)
+    say = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(n))
+    texts = [(k if k != 7 else None, say(rnd.randint(0, 9)) if k % 11 else rnd.choice(["a b", "", None])) for k in range(700)]
+    asked = spark.createDataFrame([*((k, say(5)) for k in range(9)), (3, "a aa"), (20, ""), (21, "zz"), (22, None), (None, "b b")], "q long, text string")
+    kept, stored = [], retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df, label, *a: (kept.append(label), stored(df, label, *a))[1])
+    answer = lambda d: sorted((tuple(r) for r in d.select("q", "id", "rank", F.round("bm25", 9)).collect()), key=str)
+    for more, labels in ([], ["vocabulary"]), ([(3, "a b"), (3, "c")], ["postings"]):
+        chunks = spark.createDataFrame(texts + more, "id long, text string").repartition(3).persist()
+        whole = answer(retrieval.best(retrieval.bm25(chunks, asked), "bm25", 4))
+        for block, pairs, most in (1024, 1 << 20, 10_000), (50, 64, 4):
+            kept.clear()
+            with monkeypatch.context() as m:
+                for name, value in ("_BLOCK", block), ("_PAIRS", pairs), ("MAX_QUERIES", most):
+                    m.setattr(retrieval, name, value)
+                assert answer(retrieval.bm25_top(chunks, asked, 4)) == whole and len(whole) == 40
+            assert kept == labels
+    kept.clear()
+    assert e.queries()["bm25_topk"](spark, e.SMOKE_DIR).count() == 320 and kept == ["vocabulary"]
