@@ -17,7 +17,9 @@ move many times its size, so the suffixes are dealt out first, by content:
    positions, recursion on the names, merging of the rest; neighbours in the
    order that share ``LENGTH`` bytes are one string, with a smallest id.
    Anchors in more than ``HOT`` batches would make one owner grow with the
-   input, so their surroundings go string by string to the owner of the string.
+   input, so their surroundings go in two halves, each to the owner of the bytes
+   that all its strings share; those in ``HOTTER`` times as many batches go string
+   by string to the owner of the string.
 4. *Removal.* Owners return for each surrounding which of its strings start in
    a document of smaller id than its own smallest; documents with larger ids
    than that lose all of it. The batches mark and cut.
@@ -43,9 +45,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import bounded_bytes, id_text, scratch_dir, stored
 from lodestone.llm.suffix_sort import equal_prefixes
 
-LENGTH, SEED, HOT = 50, 24, 512
+LENGTH, SEED, HOT, HOTTER = 50, 24, 512, 16
 #: Text in a batch, and bytes of surroundings in one suffix array, at least.
 BATCH_BYTES, ARRAY_BYTES = 3_000_000, 750_000
+#: Text for each owner, about: how the files are split does not say how much an
+#: owner sorts.
+OWNER_BYTES = 8_000_000
 #: Positions hashed at a time, which fits a processor's cache.
 _SLICE = 1 << 16
 _LAST = np.iinfo(np.int64).max  # stands for a null id
@@ -218,7 +223,9 @@ def _find_copies(table: DataFrame, owners: int) -> DataFrame:
 
 
 def _find_anchors(table: DataFrame, owners: int, length: int, seed: int, hot: int) -> DataFrame:
-    """``(batch, owner, shared, hot)``: bits for a batch's distinct anchors."""
+    """``(batch, owner, shared, hot)``: bits for a batch's distinct anchors; of
+    ``hot`` the latter half for those that are ``HOTTER``."""
+    hotter = hot * HOTTER
 
     def send(batches):
         for row in _rows(batches):
@@ -235,31 +242,73 @@ def _find_anchors(table: DataFrame, owners: int, length: int, seed: int, hot: in
             lists.append(wide.view("<u8").ravel())
         _, number, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         count, cut = count[number], np.cumsum([len(x) for x in lists])[:-1]
-        bits = [[np.packbits(x).tobytes() for x in np.split(flag, cut)] for flag in (count > 1, count > hot)]
+        bits = [[np.packbits(x).tobytes() for x in np.split(flag, cut)] for flag in (count > 1, count > hot, count > hotter)]
+        bits[1] = [a + b for a, b in zip(*bits[1:])]
         return pa.table({"batch": group.column("batch"), "owner": group.column("owner"), "shared": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary())})
 
     sent = table.mapInArrow(send, "batch long, owner long, anchors binary")
     return sent.groupBy("owner").applyInArrow(decide, "batch long, owner long, shared binary, hot binary")
 
 
+def _hashed(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(0, wide.shape[1], 8):
+        h = _mix(h + np.ascontiguousarray(wide[:, k : k + 8]).view("<u8").ravel() * _C[k // 8 % 3])
+    return h
+
+
+def _distinct_rows(buf: np.ndarray, where: np.ndarray, before: np.ndarray, after: np.ndarray, reach: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct surroundings of anchors, with the numbers of their valid bytes
+    as the last two of each, their hashes, a place where each is, and which of
+    them each anchor has. ``_SLICE`` anchors are written out at a time, so that
+    only distinct ones take memory."""
+    width = 2 * reach + seed
+    padded = np.concatenate([np.zeros(reach, np.uint8), buf, np.zeros(8, np.uint8)])
+    windows, column = np.lib.stride_tricks.sliding_window_view(padded, width), np.arange(width)[None, :]
+    held, hashes, places, same, n = [], [], [], np.empty(len(where), np.int64), 0
+    for a in range(0, len(where), _SLICE):
+        s = slice(a, a + _SLICE)
+        rows = np.zeros((len(where[s]), -(-(width + 2) // 8) * 8), np.uint8)
+        text = windows[where[s]]
+        text[(column < (reach - before[s])[:, None]) | (column >= (reach + seed + after[s])[:, None])] = 0
+        rows[:, :width], rows[:, width], rows[:, width + 1] = text, before[s], after[s]
+        h = _hashed(rows)
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if (rows[first[back]] != rows).any():  # two surroundings of one hash: all stand by themselves
+            first = back = np.arange(len(rows))
+        held, hashes, places = [*held, rows[first]], [*hashes, h[first]], [*places, first + a]
+        same[s], n = back + n, n + len(first)
+    rows, h, place = (x[0] if len(x) == 1 else np.concatenate(x) for x in (held, hashes, places))
+    if len(held) > 1:
+        held.clear()
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if all((rows[first[back[a : a + _SLICE]]] == rows[a : a + _SLICE]).all() for a in range(0, n, _SLICE)):
+            rows, h, place, same = rows[first], h[first], place[first], back[same]
+    return rows[:, : width + 2], h, place, same
+
+
 def _surroundings(table: DataFrame, answers: DataFrame, owners: int, length: int, seed: int) -> DataFrame:
     """``(batch, owner, rows, least)``. Rows are surroundings with the numbers
     of valid bytes before and after the anchor; the row of owner -1 has the
-    places: position, document, surrounding, and which string of it (-1: all)."""
+    places: position, document, surrounding, and which string of it (-1: all;
+    -2, -3: those whose anchor is before or after the middle)."""
     reach = length - seed
-    width = 2 * reach + seed
+    width, half = 2 * reach + seed, (reach + 1) // 2
 
     def run(batches):
         for row in _rows(batches):
             batch = Batch(row, length, seed)
             where, doc, number, distinct, shared = _distinct(batch, owners)
-            hot = np.zeros(len(distinct), bool)
+            hot = np.zeros(len(distinct), np.int64)
             runs = dict(_by_owner((distinct >> np.uint64(40)).astype(np.int64)))
             for told in row["told"] or []:
                 s = runs[told["owner"]]
                 n = s.stop - s.start
                 shared[s] |= np.unpackbits(np.frombuffer(told["shared"], np.uint8), count=n).astype(bool)
-                hot[s] = np.unpackbits(np.frombuffer(told["hot"], np.uint8), count=n).astype(bool)
+                hot[s] = sum(np.unpackbits(x, count=n).astype(np.int64) for x in np.split(np.frombuffer(told["hot"], np.uint8), 2))
             keep = shared[number]
             where, doc, number = where[keep], doc[keep], number[keep]
             if not len(where):
@@ -267,38 +316,33 @@ def _surroundings(table: DataFrame, answers: DataFrame, owners: int, length: int
             before = np.minimum(where - (batch.ends - batch.sizes)[doc], reach)
             after = np.minimum(batch.ends[doc] - where - seed, reach)
             owner = (distinct[number] >> np.uint64(40)).astype(np.int64)
-            own = hot[number]
-            if own.any():  # each string by itself: its bytes before and after are all that is valid
+            own, single = hot[number], np.full(len(where), -1)
+            if own.any():
+                # Each string by itself: its bytes before and after are all that is valid.
                 shift = np.arange(reach + 1)
-                fits = (shift[None, :] <= before[own][:, None]) & (reach - shift[None, :] <= after[own][:, None])
-                which, b = np.nonzero(fits)
-                extra = np.flatnonzero(own)[which]
-                where, doc, owner = (np.concatenate([x[~own], x[extra]]) for x in (where, doc, owner))
-                before, after = np.concatenate([before[~own], b]), np.concatenate([after[~own], reach - b])
-                own = np.arange(len(where)) >= (~own).sum()
-            padded = np.concatenate([np.zeros(reach, np.uint8), batch.buf, np.zeros(8, np.uint8)])
-            text = np.lib.stride_tricks.sliding_window_view(padded, width)[where].copy()
-            column = np.arange(width)[None, :]
-            text[(column < (reach - before)[:, None]) | (column >= (reach + seed + after)[:, None])] = 0
-            rows = np.zeros((len(where), -(-(width + 2) // 8) * 8), np.uint8)
-            rows[:, :width], rows[:, width], rows[:, width + 1] = text, before, after
-            h = np.zeros(len(rows), np.uint64)
-            for k in range(0, rows.shape[1], 8):
-                h = _mix(h + np.ascontiguousarray(rows[:, k : k + 8]).view("<u8").ravel() * _C[k // 8 % 3])
-            owner = np.where(own, (h >> np.uint64(33)).astype(np.int64) % owners, owner)
-            _, first, same = np.unique(h, return_index=True, return_inverse=True)
-            if (rows[first[same]] != rows).any():  # two surroundings of one hash: all stand by themselves
-                first = same = np.arange(len(rows))
-            order = np.argsort(owner[first], kind="stable")
+                string = np.flatnonzero(own == 2)
+                which, o = np.nonzero((shift[None, :] <= before[string][:, None]) & (reach - shift[None, :] <= after[string][:, None]))
+                string = string[which]
+                # Halves: strings with fewer than ``half`` bytes before the anchor, and the others.
+                low, high = (np.flatnonzero(x) for x in ((own == 1) & (after >= reach - np.minimum(before, half - 1)), (own == 1) & (before >= half) & (np.minimum(after, reach - half) >= reach - before)))
+                rest = np.flatnonzero(own == 0)
+                before, after = np.concatenate([before[rest], np.minimum(before[low], half - 1), before[high], o]), np.concatenate([after[rest], after[low], np.minimum(after[high], reach - half), reach - o])
+                single = np.concatenate([single[rest], np.full(len(low), -2), np.full(len(high), -3), o])
+                where, doc, owner = (np.concatenate([x[rest], x[low], x[high], x[string]]) for x in (where, doc, owner))
+            rows, h, first, same = _distinct_rows(batch.buf, where, before, after, reach, seed)
+            dealt, code = owner[first], single[first]
+            dealt[code >= 0] = (h[code >= 0] >> np.uint64(33)).astype(np.int64) % owners
+            for kind, a, b in ((-2, reach, width - half + 1), (-3, reach - half, reach + seed)):
+                dealt[code == kind] = (_hashed(rows[code == kind, a:b]) >> np.uint64(33)).astype(np.int64) % owners
+            order = np.argsort(dealt, kind="stable")
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
-            first, same = first[order], back[same]
-            least = np.full(len(first), _LAST)
+            same = back[same]
+            least = np.full(len(order), _LAST)
             np.minimum.at(least, same, batch.ids[doc])
-            out = list(_by_owner(owner[first]))
-            single = np.where(own, before, -1)
+            out = list(_by_owner(dealt[order]))
             place = np.stack([where, doc, same, single]).astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * (len(out) + 1), pa.int64()), pa.array([-1] + [o for o, _ in out], pa.int64()), pa.array([place] + [rows[first[s], : width + 2].tobytes() for _, s in out], pa.binary()), pa.array([least.astype("<i8").tobytes()] + [least[s].astype("<i8").tobytes() for _, s in out], pa.binary())], ["batch", "owner", "rows", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * (len(out) + 1), pa.int64()), pa.array([-1] + [o for o, _ in out], pa.int64()), pa.array([place] + [rows[order[s]].tobytes() for _, s in out], pa.binary()), pa.array([least.astype("<i8").tobytes()] + [least[s].astype("<i8").tobytes() for _, s in out], pa.binary())], ["batch", "owner", "rows", "least"])
 
     return _told(table, answers, ["shared", "hot"], owners).mapInArrow(run, "batch long, owner long, rows binary, least binary")
 
@@ -402,6 +446,7 @@ def _sort_suffixes(sent: DataFrame, length: int, seed: int) -> DataFrame:
 
 def _cut(table: DataFrame, sent: DataFrame, answers: DataFrame, owners: int, length: int, seed: int, with_text: bool) -> DataFrame:
     reach = length - seed
+    half = (reach + 1) // 2
 
     def run(batches):
         for row in _rows(batches):
@@ -416,7 +461,7 @@ def _cut(table: DataFrame, sent: DataFrame, answers: DataFrame, owners: int, len
                 begin, stop = (batch.ends - batch.sizes)[doc], batch.ends[doc]
                 for o in range(reach + 1):
                     at = where - o
-                    hit = (gone >> np.uint32(o) & np.uint32(1)).astype(bool) & (at >= begin) & (at + length <= stop) & ((single < 0) | (single == o))
+                    hit = (gone >> np.uint32(o) & np.uint32(1)).astype(bool) & (at >= begin) & (at + length <= stop) & ((single == -1) | (single == o) | (single == (-2 if o < half else -3)))
                     start[at[hit]] = True
             for k in np.flatnonzero(batch.copy):
                 start[batch.ends[k] - batch.sizes[k] : max(batch.ends[k] - length + 1, batch.ends[k] - batch.sizes[k])] = True
@@ -437,6 +482,13 @@ def _cut(table: DataFrame, sent: DataFrame, answers: DataFrame, owners: int, len
     return _told(table, told, ["rows", "least"], owners).mapInArrow(run, columns)
 
 
+def _owners(docs: DataFrame, text_col: str) -> int:
+    """So many that none has much more than ``OWNER_BYTES`` of the texts, however
+    few splits the files have."""
+    n = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return min(max(8, docs.rdd.getNumPartitions(), -(-n // OWNER_BYTES)), 65_536)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, *, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary])``,
     one row per input row; ``kept`` are the bytes that stay.
@@ -450,7 +502,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if seed < 16 or seed % 8 or not 8 <= length - seed <= 31:
         raise ValueError("seed must be 16, 24, ... and 8 to 31 less than length")
     bounded_bytes(docs.sparkSession)
-    owners = min(max(8, docs.rdd.getNumPartitions()), 65_536)
+    owners = _owners(docs, text_col)
     table = _batch_table(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, owners)
     copies = stored(_find_copies(table, owners), "copies")
     table = _told(table, copies, ["docs", "bits"], owners, "copies")

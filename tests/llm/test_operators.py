@@ -311,6 +311,57 @@ def test_suffix_anchor_among_many_texts(monkeypatch):
         assert max(sizes) < 20_000
 
 
+def test_suffix_owners_follow_the_bytes_and_not_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "OWNER_BYTES", 2000, raising=False)
+    rnd = random.Random(12)
+    shared = ["".join(rnd.choice("abcdef ") for _ in range(90)) for _ in range(30)]
+    rows = [(i, "".join(rnd.choice([rnd.choice(shared), str(rnd.random())]) for _ in range(20))) for i in range(100)]
+    kept, stored = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, label, *a: kept.setdefault(label, stored(df, label, *a)))
+    found = suffix_dedup.remove_repeats(frame(spark, rows).coalesce(1)).collect()
+    assert key(tuple(r) for r in found) == key(brute_repeats(rows))
+    told = kept["surroundings"].where("owner >= 0").groupBy("owner").agg(F.sum(F.length("rows")).alias("n")).collect()
+    assert len(told) > 30 and max(r.n for r in told) < sum(r.n for r in told) / 10
+
+
+@pytest.mark.parametrize("hotter", [1, 3, 1000])
+def test_suffix_hot_anchors_go_in_halves(spark, monkeypatch, hotter):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "HOTTER", hotter, raising=False)
+    rnd = random.Random(15)
+    base = ["".join(rnd.choice("ab cé") for _ in range(200)) for _ in range(5)]
+    rows = ODD + [(i, base[i % 5][rnd.randint(0, 40) : rnd.randint(70, 200)] + str(i) + rnd.choice(base)[rnd.randint(0, 60) : 130]) for i in range(11, 90)]
+    kept, stored = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, label, *a: kept.setdefault(label, stored(df, label, *a)))
+    sent = []
+    for hot in (1, 512):
+        kept.clear()
+        found = suffix_dedup.remove_repeats(frame(spark, rows).repartition(4), hot=hot).collect()
+        assert key(tuple(r) for r in found) == key(brute_repeats(rows))
+        sent.append(kept["surroundings"].where("owner >= 0").agg(F.sum(F.length("rows"))).first()[0])
+    assert sent[0] <= 2 * sent[1] if hotter == 1000 else sent[0] > sent[1]  # before, string by string: over 2 x
+
+
+def test_suffix_strings_of_hot_anchors_take_memory_once(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 1 << 12)
+    line = bytes(random.Random(13).choices(range(97, 123), k=300))
+    buf = np.frombuffer(line * 400 + bytes(58), np.uint8)
+    where = np.repeat(np.arange(30, len(line) * 400 - 80, 30), 27)
+    before = np.tile(np.arange(27), len(where) // 27)
+    tracemalloc.start()
+    rows, h, place, same = suffix_dedup._distinct_rows(buf, where, before, 26 - before, 26, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == len(np.unique(h)) == 10 * 27 and peak < 60 * len(where)  # 76 bytes of text for each of them before
+    for k in random.Random(14).sample(range(len(where)), 300):
+        b, a = int(before[k]), int(where[k])
+        row = bytes(26 - b) + buf[a - b : a + 50 - b].tobytes() + bytes(b) + bytes([b, 26 - b])
+        assert rows[same[k]].tobytes() == row and (where[place[same[k]]] - a) % 300 == 0 and before[place[same[k]]] == b
+
+
 def test_suffix_anchor_of_the_least_hash(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_mix", np.zeros_like)
     batch = suffix_dedup.Batch({"ids": np.array([1], "<i8").tobytes(), "sizes": np.array([50], "<i8").tobytes(), "text": bytes(range(50))}, 50, 24)
